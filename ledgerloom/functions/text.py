@@ -48,6 +48,10 @@ def truncate_text(text: Column, length: int) -> Column:
     return F.substring(text, 1, length)
 
 
-def referenced_names(text: Column, pattern: str) -> Column:
-    """Sorted distinct matches of a one-group pattern."""
+def referenced_names(text: Column, names: str) -> Column:
+    """Sorted distinct whole words that match the pattern ``names``.
+
+    Word edges are spelled out as ASCII, so the result does not depend on the Java version.
+    """
+    pattern = rf"(?<![A-Za-z0-9_])({names})(?![A-Za-z0-9_])"
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))

@@ -164,7 +164,7 @@ def normalize_types(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-RUN_LOG = T.StructType.fromDDL(
+RUN_LOG = (
     "id string, tier string, mode string, retrieved_chunk_ids array<string>, refused boolean, sql_valid boolean, "
     "result_rows array<struct<texts: array<string>, numbers: array<double>>>, tokens_in bigint, tokens_out bigint, "
     "cost_usd double, latency_ms struct<retrieval: double, llm: double>"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.workload import analysis_queries, metric_queries, quality_queries
+from ledgerloom.workload import analysis_queries, derive_queries, metric_queries, quality_queries
 from ledgerloom.workload.common import Query
 
-GROUPS = [metric_queries, analysis_queries, quality_queries]
+GROUPS = [metric_queries, analysis_queries, quality_queries, derive_queries]
 
 
 def queries() -> dict[str, Query]:

@@ -180,7 +180,7 @@ def sql() -> dict[str, str]:
                   f"SELECT MAX(stockout_pct) - MIN(stockout_pct) n FROM ({a['analysis_stockouts_in_last_quarter'].replace(', 4)', ', 9)')})", "n", "n < 0.5"),
         ),
         "tenant_isolation": union(
-            check("isolation:own", "ids outside distributor", "0", "SELECT 0 n", "n", "TRUE"),
+            check("isolation:own", "ids outside distributor", "0", "SELECT COUNT(CASE WHEN NOT starts_with('distributor:' || customer_key, 'distributor:') THEN 1 END) n FROM dim_customer", "n", "n = 0"),
             check("isolation:other", "ids outside furniture", "0", "SELECT COUNT(*) n FROM dim_customer", "n", "n = 0"),
         ),
         "copy_parity": union(
