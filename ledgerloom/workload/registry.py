@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerloom.workload import analysis_queries, derive_queries, metric_queries, quality_queries
+from ledgerloom.workload import (
+    analysis_queries, derive_queries, insight_queries, metric_queries, quality_queries, retrieval_queries,
+)
 from ledgerloom.workload.common import Query
 
-GROUPS = [metric_queries, analysis_queries, quality_queries, derive_queries]
+GROUPS = [metric_queries, analysis_queries, quality_queries, derive_queries, insight_queries, retrieval_queries]
 
 
 def queries() -> dict[str, Query]:

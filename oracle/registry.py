@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from oracle import analysis_sql, derive_sql, metric_sql, quality_sql
+from oracle import analysis_sql, derive_sql, insight_sql, metric_sql, quality_sql, retrieval_sql
 from oracle.views import over_views
 
-GROUPS = [metric_sql, analysis_sql, quality_sql, derive_sql]
+GROUPS = [metric_sql, analysis_sql, quality_sql, derive_sql, insight_sql, retrieval_sql]
 
 
 def sql() -> dict[str, str]:
