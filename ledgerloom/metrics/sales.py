@@ -73,6 +73,10 @@ def churned_customers(
         raise ValueError("customer_churn_count needs a start day or a period")
     leg = orders_leg({"first_day": lowest("order_date"), "last_day": highest("order_date")})
     spans = aggregate_leg(wh, leg, by, None, where, {"customer_id": F.col("customer_id")})
+    customers = wh["dim_customer"]
+    if "status" in customers.columns:
+        customers = customers.where(F.col("status").isin("Active", "Churned"))
+    spans = spans.join(customers.select("customer_id"), "customer_id", "left_semi")
     gone = (F.col("last_day") < F.lit(start)) & (F.col("first_day") < F.lit(start - timedelta(days=quiet_days)))
     names = output_names(by)
     return spans.groupBy(*names).agg(F.count(F.when(gone, 1)).alias("customer_churn_count"))

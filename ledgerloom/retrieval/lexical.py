@@ -24,7 +24,8 @@ def corpus_statistics(docs: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, tenant, term, repeats``: a repeated query term counts again."""
     return (
-        queries.select("query_id", "tenant", F.explode(tokens(F.col("text"))).alias("term"))
+        queries.select("query_id", "tenant", F.explode_outer(tokens(F.col("text"))).alias("term"))
+        .where("term is not null")
         .groupBy("query_id", "tenant", "term")
         .agg(F.count(F.lit(1)).alias("repeats"))
     )
@@ -33,7 +34,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """``tenant, term, id, dl, tf``, cut to a ``(tenant, term)`` vocabulary when one is given."""
     words = docs.select("id", "tenant", tokens(F.col("text")).alias("words"))
-    exploded = words.select("id", "tenant", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    # an outer explode: for an inner one Spark adds a filter that tokenises the text again
+    exploded = words.select("id", "tenant", F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
+    exploded = exploded.where("term is not null")
     if vocabulary is not None:
         exploded = exploded.join(vocabulary, ["tenant", "term"])
     return exploded.groupBy("tenant", "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))

@@ -26,8 +26,23 @@ from ledgerloom.functions.dates import build_calendar
 from ledgerloom.operators import derive
 from ledgerloom.sources.schemas import CATALOG
 
-WAREHOUSES = [(1, "Warehouse 1"), (2, "Warehouse 2"), (3, "Warehouse 3"), (4, "Warehouse 4")]
-SUBSIDIARIES = [(1, "Subsidiary 1"), (2, "Subsidiary 2"), (3, "Subsidiary 3")]
+# inline rows: Catalyst knows how small they are
+WAREHOUSES = (
+    "SELECT CAST(k AS BIGINT) AS warehouse_key, concat('Warehouse ', k) AS warehouse_name FROM VALUES (1), (2), (3), (4) AS t(k)"
+)
+SUBSIDIARIES = "SELECT CAST(k AS BIGINT) AS subsidiary_key, concat('Subsidiary ', k) AS subsidiary_name FROM VALUES (1), (2), (3) AS t(k)"
+
+# declared, so that opening a table reads no file footer
+RAW_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
 
 
 class Warehouse(Mapping[str, DataFrame]):
@@ -57,6 +72,10 @@ class Warehouse(Mapping[str, DataFrame]):
     def __len__(self) -> int:
         return sum(1 for _ in self)
 
+    def has(self, name: str) -> bool:
+        """Also true for the intermediate steps that are not tables of the catalogue."""
+        return name in self._builders
+
     def replaced(self, **frames: DataFrame) -> Warehouse:
         """The same warehouse with some tables swapped."""
         swapped = {name: (lambda _wh, frame=frame: frame) for name, frame in frames.items()}
@@ -64,10 +83,7 @@ class Warehouse(Mapping[str, DataFrame]):
 
 
 def _raw(folder: str, name: str) -> Callable[[Warehouse], DataFrame]:
-    return lambda wh: wh.spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-RAW_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+    return lambda wh: wh.spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _with_region(wh: Warehouse, table: str, nation_key: str) -> DataFrame:
@@ -125,13 +141,15 @@ def _item_supplier(wh: Warehouse) -> DataFrame:
     )
 
 
+def _item_tier(wh: Warehouse) -> DataFrame:
+    """Per item: its supplier with tier and terms."""
+    terms = wh["dim_supplier"].select("supplier_key", "reliability_tier", "payment_days")
+    return wh["item_supplier"].join(terms, "supplier_key")
+
+
 def _item_sourcing(wh: Warehouse) -> DataFrame:
-    """Per item: its supplier, that supplier's tier and terms, and the unit cost."""
-    return (
-        wh["item_supplier"]
-        .join(wh["dim_supplier"].select("supplier_key", "reliability_tier", "payment_days"), "supplier_key")
-        .join(wh["dim_item"].select("item_key", "unit_cost"), "item_key")
-    )
+    """The same with the unit cost."""
+    return wh["item_tier"].join(wh["dim_item"].select("item_key", "unit_cost"), "item_key")
 
 
 def _order_lines(wh: Warehouse) -> DataFrame:
@@ -173,7 +191,7 @@ def _fulfillment_line(wh: Warehouse) -> DataFrame:
     delay = F.when(F.col("reliability_tier") == "D", 5).when(F.col("reliability_tier") == "C", 3)
     delay = delay.when(F.col("reliability_tier") == "B", 1).otherwise(0)
     days = (1 + F.col("line_qty") % 3 + delay).cast("int")
-    return shipped.join(wh["item_sourcing"].select("item_key", "reliability_tier"), "item_key").select(
+    return shipped.join(wh["item_tier"].select("item_key", "reliability_tier"), "item_key").select(
         "so_line_key", "customer_key", "item_key", "warehouse_key", "subsidiary_key", "order_date",
         days.alias("order_to_ship_days"),
         F.date_add("order_date", days).alias("ship_date"),
@@ -298,14 +316,15 @@ def distributor(spark: SparkSession, folder: str) -> Warehouse:
         spark,
         "distributor",
         {
-            **{name: _raw(folder, name) for name in RAW_TABLES},
+            **{name: _raw(folder, name) for name in RAW_SCHEMAS},
             "dim_date": _calendar,
             "dim_customer": _dim_customer,
             "dim_supplier": _dim_supplier,
             "dim_item": _dim_item,
-            "dim_warehouse": lambda wh: wh.spark.createDataFrame(WAREHOUSES, "warehouse_key bigint, warehouse_name string"),
-            "dim_subsidiary": lambda wh: wh.spark.createDataFrame(SUBSIDIARIES, "subsidiary_key bigint, subsidiary_name string"),
+            "dim_warehouse": lambda wh: wh.spark.sql(WAREHOUSES),
+            "dim_subsidiary": lambda wh: wh.spark.sql(SUBSIDIARIES),
             "item_supplier": _item_supplier,
+            "item_tier": _item_tier,
             "item_sourcing": _item_sourcing,
             "order_lines": _order_lines,
             "orders_with_lines": _orders_with_lines,
@@ -377,7 +396,7 @@ def furniture(spark: SparkSession, folder: str) -> Warehouse:
         spark,
         "furniture",
         {
-            **{name: _raw(folder, name) for name in RAW_TABLES},
+            **{name: _raw(folder, name) for name in RAW_SCHEMAS},
             "order_lines": _order_lines,
             "orders_with_lines": _orders_with_lines,
             "dim_date": _calendar,
