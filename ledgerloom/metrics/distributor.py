@@ -71,8 +71,8 @@ def item_velocity(wh: Any) -> DataFrame:
 
 def slow_items(wh: Any, quantile: float = 0.2) -> DataFrame:
     velocity = item_velocity(wh)
-    cutoff = exact_quantile(velocity, "units", quantile, "cutoff")
-    return velocity.crossJoin(F.broadcast(cutoff)).where("units <= cutoff").select("item_key")
+    cutoff = exact_quantile(velocity, "units", quantile)
+    return velocity.where(F.col("units") <= cutoff.scalar()).select("item_key")
 
 
 def slow_stock_value(

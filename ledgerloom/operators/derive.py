@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import clamp_date
+from ledgerloom.functions.scalars import one_row
 
 # Promise offset in days per lead class, tax rate, monthly ledger accounts.
 LEAD_OFFSETS = {"Short": 2, "Medium": 3, "Long": 4}
@@ -57,12 +58,12 @@ def derive_promise_date(orders: DataFrame, items: DataFrame, bounds: DataFrame)
         offset = F.when(F.col("lead_time_class") == lead_class, days).otherwise(offset)
     return (
         orders.join(items.select("item_key", "lead_time_class"), "item_key")
-        .crossJoin(F.broadcast(bounds))
+        .withColumn("bounds", one_row(bounds))
         .withColumn(
             "promised_ship_date",
-            clamp_date(F.date_add("order_date", offset), F.col("first_day"), F.col("last_day")),
+            clamp_date(F.date_add("order_date", offset), F.col("bounds.first_day"), F.col("bounds.last_day")),
         )
-        .drop("lead_time_class", "first_day", "last_day")
+        .drop("lead_time_class", "bounds")
     )
 
 

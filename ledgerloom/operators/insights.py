@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.labels import month_label, quarter_label
+from ledgerloom.functions.scalars import one_row
 from ledgerloom.metrics.spec import Metric, Where, aggregate_leg, meet, output_names
 from ledgerloom.operators.ranking import exact_quantile, neighbour_gaps, top_n_per_group, with_total
 from ledgerloom.periods import Period
@@ -91,9 +92,9 @@ def trend_summary(periods: DataFrame) -> DataFrame:
     ends = periods.agg(
         F.max("value").alias("peak"), F.min("value").alias("low"), F.avg("value").alias("average"), F.count("value").alias("periods")
     )
-    at = lambda end: F.min(F.when(F.col("value") == F.col(end), F.struct("sort_key", "period")))
-    found = periods.crossJoin(F.broadcast(ends)).agg(
-        *[F.first(c).alias(c) for c in ("peak", "low", "average", "periods")],
+    at = lambda end: F.min(F.when(F.col("value") == F.col(f"ends.{end}"), F.struct("sort_key", "period")))
+    found = periods.withColumn("ends", one_row(ends)).agg(
+        *[F.first(f"ends.{c}").alias(c) for c in ("peak", "low", "average", "periods")],
         at("peak").alias("at_peak"), at("low").alias("at_low"),
     )
     return found.where("periods >= 3").select(
@@ -177,13 +178,11 @@ def natural_break(df: DataFrame, value: str, more_than: int = 15, factor: float
     steps = neighbour_gaps(df, value).where("lower is not null")
     typical = exact_quantile(steps, "gap", 0.5, "typical")
     widest = steps.agg(F.max(F.struct("gap", "value")).alias("widest"))
-    edge = widest.crossJoin(F.broadcast(typical)).select(
-        F.col("widest.gap").alias("gap"), F.col("widest.value").alias("edge"), "typical"
-    )
-    counted = df.crossJoin(F.broadcast(edge)).agg(
+    edge = widest.select(F.col("widest.gap").alias("gap"), F.col("widest.value").alias("edge"), typical.scalar().alias("typical"))
+    counted = df.withColumn("__break", one_row(edge)).agg(
         F.count(value).alias("row_count"),
-        F.count(F.when(F.col(value) >= F.col("edge"), 1)).alias("above"),
-        F.first("gap").alias("gap"), F.first("edge").alias("edge"), F.first("typical").alias("typical"),
+        F.count(F.when(F.col(value) >= F.col("__break.edge"), 1)).alias("above"),
+        *[F.first(f"__break.{c}").alias(c) for c in ("gap", "edge", "typical")],
     )
     broken = (F.col("row_count") > more_than) & F.coalesce(F.col("gap") >= F.lit(factor) * F.col("typical"), F.lit(False))
     return counted.select(

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.scalars import one_row
+
 CHECK_COLUMNS = ["check_id", "label", "expected", "actual", "passed"]
 
 
@@ -295,9 +297,8 @@ def isolated(results: DataFrame, id_column: str, tenant: str, check_id: str = "i
 def parity(left: DataFrame, right: DataFrame, sums: Mapping[str, Column], check_id: str, digits: int = 2) -> DataFrame:
     """Row count and totals of two copies agree."""
     aggregates = [F.count(F.lit(1)).alias("rows"), *[F.round(F.sum(c), digits).alias(n) for n, c in sums.items()]]
-    both = left.agg(*[a.alias(f"l{i}") for i, a in enumerate(aggregates)]).crossJoin(
-        F.broadcast(right.agg(*[a.alias(f"r{i}") for i, a in enumerate(aggregates)]))
-    )
+    other = right.agg(*[a.alias(f"r{i}") for i, a in enumerate(aggregates)])
+    both = left.agg(*[a.alias(f"l{i}") for i, a in enumerate(aggregates)]).withColumn("r", one_row(other)).select("*", "r.*")
     names = ["rows", *sums]
     return _checks(
         both,

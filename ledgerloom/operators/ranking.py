@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.scalars import one_row
+
 # rank error of the quantile sketch is at most 1 / SKETCH_ACCURACY of the rows
 SKETCH_ACCURACY = 50_000
 
@@ -27,8 +29,8 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], n: int, *order: Column,
 
 
 def with_total(df: DataFrame, total: Column, name: str) -> DataFrame:
-    """Every row with one grand total: a one-row broadcast, not an unpartitioned window."""
-    return df.crossJoin(F.broadcast(df.agg(total.alias(name))))
+    """Every row with one grand total: a scalar subquery, not an unpartitioned window."""
+    return df.withColumn(name, df.agg(total).scalar())
 
 
 def with_share(df: DataFrame, value: str, name: str = "pct_of_total") -> DataFrame:
@@ -56,13 +58,13 @@ def order_statistic(df: DataFrame, value: str, fraction: float, position: Column
         F.count(F.lit(1)).alias("n"),
         F.percentile_approx(x, ends, SKETCH_ACCURACY).alias("ends"),
     ).select("n", position.cast("bigint").alias("rank"), F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
-    zone = F.when(x < F.col("low"), 0).when(x <= F.col("high"), 1).otherwise(2)
+    zone = F.when(x < F.col("b.low"), 0).when(x <= F.col("b.high"), 1).otherwise(2)
     counted = (
-        rows.crossJoin(F.broadcast(bracket))
+        rows.withColumn("b", one_row(bracket))
         .groupBy(zone.alias("zone"), F.when(zone == 1, x).alias("v"))
         .agg(
             F.count(F.lit(1)).alias("c"), F.min(x).alias("lowest"), F.max(x).alias("highest"),
-            F.first("n").alias("n"), F.first("rank").alias("rank"),
+            F.first("b.n").alias("n"), F.first("b.rank").alias("rank"),
         )
     )
     ordered = Window.orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, 0)
@@ -105,12 +107,12 @@ def top_fraction_share(df: DataFrame, value: str, fraction: float, name: str = "
         F.col("value").alias("cut"), places.alias("places")
     )
     x = F.col(value)
-    sums = df.crossJoin(F.broadcast(cut)).agg(
-        F.sum(F.when(x > F.col("cut"), x)).alias("above"),
-        F.count(F.when(x > F.col("cut"), 1)).alias("n_above"),
+    sums = df.withColumn("c", one_row(cut)).agg(
+        F.sum(F.when(x > F.col("c.cut"), x)).alias("above"),
+        F.count(F.when(x > F.col("c.cut"), 1)).alias("n_above"),
         F.sum(x).alias("total"),
-        F.first("cut").alias("cut"),
-        F.first("places").alias("places"),
+        F.first("c.cut").alias("cut"),
+        F.first("c.places").alias("places"),
     )
     held = F.coalesce("above", F.lit(0.0)) + (F.col("places") - F.col("n_above")) * F.col("cut")
     return sums.select(F.try_divide(held, F.col("total")).alias(name))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import measures as ms
+from ledgerloom.functions.scalars import one_row
 from ledgerloom.metrics.distributor import (
     OTIF_HIT, item_velocity, latest_snapshot, paid_invoices, promised_and_shipped, slow_items,
 )
@@ -293,9 +294,9 @@ def dual_source_priority(wh: Any, n: int = 10) -> DataFrame:
 def fast_and_slow_movers(wh: Any, high: float = 0.8, low: float = 0.2) -> DataFrame:
     """Lateness, shipping and stockouts of the fastest and slowest items."""
     velocity = item_velocity(wh)
-    cuts = exact_quantile(velocity, "units", high, "hi").crossJoin(F.broadcast(exact_quantile(velocity, "units", low, "lo")))
-    group = F.when(F.col("units") >= F.col("hi"), "fast").when(F.col("units") <= F.col("lo"), "slow")
-    classed = velocity.crossJoin(F.broadcast(cuts)).select("item_key", group.alias("mover_group")).where("mover_group is not null")
+    hi, lo = (exact_quantile(velocity, "units", p).scalar() for p in (high, low))
+    group = F.when(F.col("units") >= hi, "fast").when(F.col("units") <= lo, "slow")
+    classed = velocity.select("item_key", group.alias("mover_group")).where("mover_group is not null")
     facts = (
         item_lateness(wh).unionByName(item_shipping(wh), allowMissingColumns=True)
         .unionByName(item_stockouts(wh), allowMissingColumns=True)
@@ -438,7 +439,7 @@ def warehouse_overview(wh: Any, metric_count: int) -> DataFrame:
     orders = wh["o2c_sales_order_line"].agg(F.count(F.lit(1)).alias("order_count"))
     span = wh["dim_date"].agg(F.min("full_date").alias("first"), F.max("full_date").alias("last"))
     return (
-        customers.crossJoin(F.broadcast(orders)).crossJoin(F.broadcast(span)).select(
+        customers.withColumn("order_count", orders.scalar()).withColumn("span", one_row(span)).select("*", "span.*").select(
             "customer_count", "order_count",
             F.lit(len(wh)).alias("table_count"), F.lit(metric_count).alias("metric_count"),
             F.date_format("first", "yyyy-MM").alias("range_start"),

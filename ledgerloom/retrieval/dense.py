@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import cosine
 from ledgerloom.operators.ranking import top_n_per_group
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 1024
 
 
 def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalog import Catalog
 from ledgerloom.functions.dates import build_calendar
+from ledgerloom.functions.scalars import one_row
 from ledgerloom.operators import derive
 from ledgerloom.sources.schemas import CATALOG
 
@@ -135,9 +136,9 @@ def _dim_item(wh: Warehouse) -> DataFrame:
 
 def _item_supplier(wh: Warehouse) -> DataFrame:
     span = wh["supplier"].agg(F.min("s_suppkey").alias("first_key"), F.count(F.lit(1)).alias("n"))
-    return wh["part"].crossJoin(F.broadcast(span)).select(
+    return wh["part"].withColumn("span", one_row(span)).select(
         F.col("p_partkey").alias("item_key"),
-        (F.col("first_key") + F.col("p_partkey") % F.col("n")).alias("supplier_key"),
+        (F.col("span.first_key") + F.col("p_partkey") % F.col("span.n")).alias("supplier_key"),
     )
 
 
@@ -289,8 +290,9 @@ def _snapshot(wh: Warehouse) -> DataFrame:
     day = F.to_date("o_orderdate")
     month = (F.year(day) * 12 + F.month(day)).alias("m")
     months = wh["orders"].where(F.year(day) >= 2000).groupBy(month).agg(F.max(day).alias("snapshot_date"))
+    listed = months.agg(F.collect_list(F.struct("m", "snapshot_date"))).scalar()
     level = (F.col("item_key") * 7 + F.col("m") * 13) % 29
-    return wh["dim_item"].crossJoin(F.broadcast(months)).select(
+    return wh["dim_item"].select("item_key", "unit_cost", F.inline(listed)).select(
         "snapshot_date", "item_key",
         (1 + F.col("item_key") % 4).alias("warehouse_key"),
         F.lit(1).alias("subsidiary_key"),

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.scalars import one_row
 from ledgerloom.metrics.registry import metric
 from ledgerloom.operators import insights as i
 from ledgerloom.plans import analyses as a
@@ -32,7 +33,7 @@ def _shapes(wh: Any) -> DataFrame:
         "nothing": a.revenue_by_segment(wh).where("revenue < 0"),
     }
     rows = [
-        i.result_shape(frame).crossJoin(F.broadcast(i.applicable_views(frame))).select(F.lit(name).alias("result"), "*")
+        i.result_shape(frame).withColumn("v", one_row(i.applicable_views(frame))).select(F.lit(name).alias("result"), "shape", "v.*")
         for name, frame in frames.items()
     ]
     return reduce(DataFrame.unionByName, rows)
