@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.metrics.spec import Leg, Metric, Where, count, total
 from ledgerloom.operators.ranking import exact_quantile
 from ledgerloom.periods import Period
+from ledgerloom.session import computed_once
 
 OTIF_HIT = "ship_date is not null and ship_date <= promised_ship_date and qty_shipped >= qty_ordered"
 
@@ -66,7 +67,7 @@ def latest_snapshot(wh: Any) -> DataFrame:
 
 
 def item_velocity(wh: Any) -> DataFrame:
-    return wh["o2c_fulfillment_line"].groupBy("item_key").agg(F.sum("qty_shipped").alias("units"))
+    return computed_once(wh["o2c_fulfillment_line"].groupBy("item_key").agg(F.sum("qty_shipped").alias("units")))
 
 
 def slow_items(wh: Any, quantile: float = 0.2) -> DataFrame:

@@ -15,6 +15,7 @@ from ledgerloom.functions.scalars import one_row
 from ledgerloom.metrics.spec import Metric, Where, aggregate_leg, meet, output_names
 from ledgerloom.operators.ranking import exact_quantile, neighbour_gaps, top_n_per_group, with_total
 from ledgerloom.periods import Period
+from ledgerloom.session import computed_once
 
 # Name parts that mark a time column.
 TIME_WORDS = {"year", "quarter", "month", "date", "period", "week", "day"}
@@ -175,7 +176,8 @@ def natural_break(df: DataFrame, value: str, more_than: int = 15, factor: float
     highest one on ties) is a break when it is at least ``factor`` times the median step.
     ``prefix_rows`` rows then lie at or above ``threshold``.
     """
-    steps = neighbour_gaps(df, value).where("lower is not null")
+    df = computed_once(df.select(value))
+    steps = computed_once(neighbour_gaps(df, value).where("lower is not null"))
     typical = exact_quantile(steps, "gap", 0.5, "typical")
     widest = steps.agg(F.max(F.struct("gap", "value")).alias("widest"))
     edge = widest.select(F.col("widest.gap").alias("gap"), F.col("widest.value").alias("edge"), typical.scalar().alias("typical"))

@@ -1,4 +1,8 @@
-"""Ranking and order statistics that never sort a whole table in one task."""
+"""Ranking and order statistics that never sort a whole table in one task.
+
+Order statistics read their input twice or three times: give them a frame that is cheap to
+read again, such as an aggregate passed through ``session.computed_once``.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import one_row
+from ledgerloom.session import computed_once
 
 # rank error of the quantile sketch is at most 1 / SKETCH_ACCURACY of the rows
 SKETCH_ACCURACY = 50_000
@@ -30,6 +35,7 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], n: int, *order: Column,
 
 def with_total(df: DataFrame, total: Column, name: str) -> DataFrame:
     """Every row with one grand total: a scalar subquery, not an unpartitioned window."""
+    df = computed_once(df)
     return df.withColumn(name, df.agg(total).scalar())
 
 
@@ -126,7 +132,7 @@ def neighbour_gaps(df: DataFrame, value: str, bins: int = 256) -> DataFrame:
     value of a bin takes its neighbour from the bin summaries.
     """
     x = F.col(value)
-    rows = df.where(x.isNotNull()).select(x.cast("double").alias(value)).distinct()
+    rows = computed_once(df.where(x.isNotNull()).select(x.cast("double").alias(value)).distinct())
     cuts = sorted(set(rows.approxQuantile(value, [i / bins for i in range(1, bins)], 1 / (4 * bins))))
     edges = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
     binned = rows.withColumn("bin", F.size(F.filter(edges, lambda c: c < x)))

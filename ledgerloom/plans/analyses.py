@@ -22,6 +22,7 @@ from ledgerloom.metrics.distributor import (
 from ledgerloom.metrics.registry import metric
 from ledgerloom.operators.ranking import exact_quantile, top_fraction_share, top_n, with_total
 from ledgerloom.periods import Period
+from ledgerloom.session import computed_once
 
 LATE_TIERS = ("C", "D")
 
@@ -364,7 +365,7 @@ def pareto_shares(wh: Any, fraction: float = 0.2) -> DataFrame:
     """Share of spend and of revenue held by the top fraction of suppliers and customers."""
     spend = wh["p2p_purchase_order_line"].groupBy("supplier_key").agg(F.sum("ext_cost").alias("v"))
     revenue = wh["o2c_sales_order_line"].groupBy("customer_key").agg(F.sum("ext_amount").alias("v"))
-    sides = [("supplier", spend), ("customer", revenue)]
+    sides = [("supplier", computed_once(spend)), ("customer", computed_once(revenue))]
     return reduce(
         DataFrame.unionByName,
         [top_fraction_share(f, "v", fraction).select(F.lit(who).alias("side"), "share") for who, f in sides],

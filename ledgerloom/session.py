@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Run-time settings: they can be set on a session somebody else built.
 RUNTIME_SETTINGS = {
@@ -36,3 +36,21 @@ def build_session(app_name: str = "ledgerloom", master: str | None = None, **ext
     for key, value in {**RUNTIME_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """A frame that several branches of a plan read, computed once where the cluster allows.
+
+    Spark reuses an exchange only when both branches plan it alike, and a join's inferred
+    ``IS NOT NULL`` filter is enough to make them differ; the fact would then be read twice.
+    Where the session names ``spark.checkpoint.dir`` (shared storage, so a lost executor loses
+    nothing) the frame is written there; use it on aggregated frames. Elsewhere, as in local
+    tests, the frame stays lazy.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
