@@ -243,7 +243,9 @@ def top_n_sane(top: DataFrame, label: str, amount: str, n: int, check_id: str =
 
 
 def in_band(one_row: DataFrame, value: str, low: float, high: float, check_id: str) -> DataFrame:
-    return _check(one_row, check_id, "within band", f"{low:g}..{high:g}", F.col(value), F.col(value).between(low, high))
+    """A value within a band; a missing value or row fails."""
+    known = one_row.agg(F.max(value).alias(value))
+    return _check(known, check_id, "within band", f"{low:g}..{high:g}", F.col(value), F.col(value).between(low, high))
 
 
 def gradient(groups: DataFrame, order: str, measures: Sequence[str], wanted_groups: int) -> DataFrame:

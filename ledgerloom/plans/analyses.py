@@ -257,7 +257,10 @@ def worst_supplier_items(wh: Any, late_gt: float = 5, otif_lt: float = 50, n: in
 
 
 def tier_swap_saving(wh: Any, worse: str = "D", better: str = "A") -> DataFrame:
-    """Days per line saved if the worse tier shipped like the better one. One pass over shipments."""
+    """Days per line saved if the worse tier shipped like the better one. One pass over shipments.
+
+    No row when either tier has no shipments.
+    """
     shipping = (
         item_shipping(wh).join(wh["item_supplier"], "item_key").groupBy("supplier_key")
         .agg(F.sum("ship_days").alias("ship_days"), F.sum("shipments").alias("shipments"))
@@ -271,7 +274,7 @@ def tier_swap_saving(wh: Any, worse: str = "D", better: str = "A") -> DataFrame:
     return shipping.agg(
         (mean(worse) - mean(better)).alias("delay_days_eliminated_per_line"),
         F.sum(F.when(F.col("reliability_tier") == worse, F.col("shipments"))).alias("affected_shipments"),
-    )
+    ).where("delay_days_eliminated_per_line is not null")
 
 
 def dual_source_priority(wh: Any, n: int = 10) -> DataFrame:

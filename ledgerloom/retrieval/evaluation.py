@@ -22,8 +22,9 @@ def retrieval_summary(results: DataFrame, bands: DataFrame, questions: DataFrame
     """Per ranker, over all questions and per difficulty.
 
     ``results (ranker, query_id, rank, id)``, ``bands (ranker, query_id, confidence_band,
-    millis)``, ``questions (query_id, difficulty, blank)``, ``truth (query_id, id)`` holds
-    the acceptable ids; a question without any expects a refusal.
+    millis)``, ``questions (query_id, difficulty, blank, expects_answer)``, ``truth (query_id,
+    id)`` holds acceptable ids, at least those among the results. A question that expects no
+    answer expects a refusal.
     """
     hits = (
         results.where(F.col("rank") <= 5)
@@ -34,16 +35,11 @@ def retrieval_summary(results: DataFrame, bands: DataFrame, questions: DataFrame
             F.coalesce(F.max("good"), F.lit(False)).alias("top5"),
         )
     )
-    expected = truth.select("query_id").distinct().withColumn("expects_answer", F.lit(True))
-    per_query = (
-        bands.join(questions, "query_id")
-        .join(hits, ["ranker", "query_id"], "left")
-        .join(expected, "query_id", "left")
-    )
+    per_query = bands.join(questions, "query_id").join(hits, ["ranker", "query_id"], "left")
     n = F.count(F.lit(1))
     count_if = lambda c: F.count(F.when(c, 1))
     share = lambda c: F.try_divide(count_if(c) * 100.0, n)
-    refused = F.col("expects_answer").isNull() & (F.col("confidence_band") == "VERY_LOW")
+    refused = ~F.col("expects_answer") & (F.col("confidence_band") == "VERY_LOW")
     return (
         per_query.groupingSets([["ranker"], ["ranker", "difficulty"]], "ranker", "difficulty")
         .agg(

@@ -1,7 +1,8 @@
 """Lexical, dense and fused retrieval, and the scoring of retrieval and answers.
 
 Lexical queries are the ``benchmark`` texts over all ``documents`` of their language; dense
-queries are the mean vector of each label over all ``embeddings``; fused queries have both.
+queries are the mean vector of each label over all ``embeddings``; fused queries are all
+``benchmark`` texts with such a vector each.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from ledgerloom.sources import files
 from ledgerloom.workload.common import Query, on_distributor, on_raw
 
 
+LABELS = 10
+
+
 def documents(t: Any) -> DataFrame:
     return t("documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("tenant"), "text", "source")
 
@@ -45,11 +49,17 @@ def both_documents(t: Any) -> DataFrame:
 
 
 def both_queries(t: Any) -> DataFrame:
-    return label_queries(t).join(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
+    """Every benchmark text, with the mean vector of a label: the labels are dealt out in turn."""
+    means = label_queries(t).withColumnRenamed("query_id", "label")
+    texts = t("benchmark").select(F.col("item_id").alias("query_id"), "text", (F.col("item_id") % LABELS).alias("label"))
+    return texts.join(means, "label").select("query_id", "tenant", "text", "vector", "label")
 
 
-def truth(t: Any) -> DataFrame:
-    return t("embeddings").select(F.col("label").cast("bigint").alias("query_id"), F.col("vec_id").alias("id"))
+def truth(t: Any, results: DataFrame) -> DataFrame:
+    """The retrieved documents that carry their query's label."""
+    labelled = t("embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("label"))
+    wanted = both_queries(t).select("query_id", "label")
+    return results.select("query_id", "id").distinct().join(labelled, "id").join(wanted, ["query_id", "label"]).select("query_id", "id")
 
 
 def lexical_statistics(spark: Any, t: Any) -> DataFrame:
@@ -105,16 +115,19 @@ def _bands(t: Any, results: DataFrame) -> DataFrame:
 
 def _questions(t: Any) -> DataFrame:
     hard = F.when(F.col("query_id") % 2 == 0, "HARD").otherwise("EASY")
-    return both_queries(t).select("query_id", hard.alias("difficulty"), F.lit(False).alias("blank"))
+    return both_queries(t).select(
+        "query_id", hard.alias("difficulty"), F.lit(False).alias("blank"), (F.col("query_id") % 4 != 3).alias("expects_answer")
+    )
 
 
 def summary(spark: Any, t: Any) -> DataFrame:
     results = all_rankers(t)
-    return e.retrieval_summary(results, _bands(t, results), _questions(t), truth(t))
+    return e.retrieval_summary(results, _bands(t, results), _questions(t), truth(t, results))
 
 
 def duel(spark: Any, t: Any) -> DataFrame:
-    return e.head_to_head(all_rankers(t), truth(t), _questions(t), "dense", "bm25")
+    results = all_rankers(t)
+    return e.head_to_head(results, truth(t, results), _questions(t), "dense", "bm25")
 
 
 # --- answer scoring: one question per nation, its revenue by segment is the truth -------------

@@ -156,7 +156,10 @@ def test_refusals_are_counted(spark):
     bands = spark.createDataFrame(
         [("a", 1, "HIGH", 5.0), ("a", 2, "LOW", 7.0), ("a", 3, "VERY_LOW", 100.0)],
         "ranker string, query_id int, confidence_band string, millis double")
-    questions = spark.createDataFrame([(1, "HARD", False), (2, "EASY", False), (3, "EDGE", True)], "query_id int, difficulty string, blank boolean")
+    questions = spark.createDataFrame(
+        [(1, "HARD", False, True), (2, "EASY", False, True), (3, "EDGE", True, False)],
+        "query_id int, difficulty string, blank boolean, expects_answer boolean",
+    )
     truth = spark.createDataFrame([(1, 10), (2, 11)], "query_id int, id int")
     rows = {x["difficulty"]: x for x in e.retrieval_summary(results, bands, questions, truth).collect()}
     overall = rows["all"]
