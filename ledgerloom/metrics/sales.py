@@ -14,6 +14,7 @@ from ledgerloom.metrics.spec import (
 )
 from ledgerloom.operators.ranking import top_n_per_group
 from ledgerloom.periods import Period
+from ledgerloom.session import computed_once
 
 ACTIVE = "order_status not in ('Cancelled', 'Pending')"
 CATEGORY_ON_ORDER = {"dim_item.category": "primary_item_category"}
@@ -40,7 +41,7 @@ def customer_concentration(
 ) -> DataFrame:
     """Share of revenue that the n largest customers hold."""
     names = output_names(by)
-    customers = aggregate_leg(wh, REVENUE, by, period, where, {"customer_id": F.col("customer_id")})
+    customers = computed_once(aggregate_leg(wh, REVENUE, by, period, where, {"customer_id": F.col("customer_id")}))
     order = [F.col("revenue").desc_nulls_last(), F.col("customer_id")]
     largest = (
         top_n_per_group(customers, names, n, *order) if names else customers.orderBy(*order).limit(n)

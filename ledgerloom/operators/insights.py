@@ -169,24 +169,28 @@ def _joins(metric: Metric, wh: Any, dimension: str) -> bool:
     return True
 
 
-def natural_break(df: DataFrame, value: str, more_than: int = 15, factor: float = 2.0) -> DataFrame:
+def natural_break(df: DataFrame, value: str, more_than: int = 15, factor: float = 2.0, pick: str = "widest") -> DataFrame:
     """One row: does a prefix of the rows, largest first, sit clearly apart?
 
-    Only for more than ``more_than`` rows. The widest step between neighbouring values (the
-    highest one on ties) is a break when it is at least ``factor`` times the median step.
-    ``prefix_rows`` rows then lie at or above ``threshold``.
+    Only for more than ``more_than`` rows. A step between neighbouring values is a break when
+    it is at least ``factor`` times the median step; ``pick`` takes the ``widest`` one (the
+    highest on ties) or the ``first`` one from the top. ``prefix_rows`` rows then lie at or
+    above ``threshold``.
     """
+    if pick not in ("widest", "first"):
+        raise ValueError("pick must be 'widest' or 'first'")
     df = computed_once(df.select(value))
     steps = computed_once(neighbour_gaps(df, value).where("lower is not null"))
-    typical = exact_quantile(steps, "gap", 0.5, "typical")
-    widest = steps.agg(F.max(F.struct("gap", "value")).alias("widest"))
-    edge = widest.select(F.col("widest.gap").alias("gap"), F.col("widest.value").alias("edge"), typical.scalar().alias("typical"))
+    typical = exact_quantile(steps, "gap", 0.5).scalar()
+    wide = steps.withColumn("typical", typical).where(F.col("gap") >= F.lit(factor) * F.col("typical"))
+    order = ("gap", "value") if pick == "widest" else ("value", "gap")
+    edge = wide.agg(F.max(F.struct(*order)).alias("step")).select(F.col("step.value").alias("edge"))
     counted = df.withColumn("__break", one_row(edge)).agg(
         F.count(value).alias("row_count"),
         F.count(F.when(F.col(value) >= F.col("__break.edge"), 1)).alias("above"),
-        *[F.first(f"__break.{c}").alias(c) for c in ("gap", "edge", "typical")],
+        F.first("__break.edge").alias("edge"),
     )
-    broken = (F.col("row_count") > more_than) & F.coalesce(F.col("gap") >= F.lit(factor) * F.col("typical"), F.lit(False))
+    broken = (F.col("row_count") > more_than) & F.col("edge").isNotNull()
     return counted.select(
         "row_count",
         broken.alias("has_break"),

@@ -437,6 +437,36 @@ def top_customers(wh: Any, period: Period, n: int = 5) -> DataFrame:
     return ranked.join(wh["dim_customer"].select("customer_id", "customer_name"), "customer_id")
 
 
+def annual_figures(wh: Any) -> DataFrame:
+    """One row: yearly revenue and cost of sales, and stock and cash-cycle days on that basis.
+
+    A year is twelve times the mean month with sales. Stock days here divide by yearly cost,
+    unlike the ``dio_days`` metric, which divides by cost per day with orders.
+    """
+    months = wh["o2c_sales_order_line"].groupBy(F.year("order_date").alias("y"), F.month("order_date").alias("m")).agg(
+        F.sum("ext_amount").alias("revenue"), F.sum("ext_cost").alias("cost")
+    )
+    stock = wh["inv_balance_snapshot"].groupBy("snapshot_date").agg(F.sum("value_on_hand").alias("value"))
+    year = months.agg(F.avg("revenue").alias("revenue"), F.avg("cost").alias("cost")).select(
+        (F.col("revenue") * 12).alias("annual_revenue"), (F.col("cost") * 12).alias("annual_cogs"),
+        stock.agg(F.avg("value")).scalar().alias("average_stock"),
+        metric("dso_days").compute(wh).scalar().alias("dso_days"), metric("dpo_days").compute(wh).scalar().alias("dpo_days"),
+    )
+    return year.withColumn("dio_days", ms.ratio(F.col("average_stock") * 365, F.col("annual_cogs"))).withColumn(
+        "ccc_days", F.col("dso_days") + F.col("dio_days") - F.col("dpo_days")
+    )
+
+
+def margin_spread(wh: Any) -> DataFrame:
+    """One row: the best and the worst category margin and the points between them."""
+    margins = metric("gross_margin_pct").compute(wh, by=["dim_item.category"])
+    ends = margins.agg(
+        F.min("gross_margin_pct").alias("lowest"), F.max("gross_margin_pct").alias("highest"),
+        F.min_by("category", "gross_margin_pct").alias("lowest_category"), F.max_by("category", "gross_margin_pct").alias("highest_category"),
+    )
+    return ends.withColumn("spread", F.col("highest") - F.col("lowest"))
+
+
 def warehouse_overview(wh: Any, metric_count: int) -> DataFrame:
     """Customers, orders, tables, metrics and the span of the calendar, as one row."""
     customers = wh["dim_customer"].agg(F.count(F.lit(1)).alias("customer_count"))

@@ -98,11 +98,10 @@ def full_refresh(
         key = table.primary_key
         seen = Observation(f"{wh.tenant}_{name}_{version}")
         started = time.monotonic()
-        nulls = F.count(F.when(F.col(key).isNull(), 1)) if key else F.lit(0).cast("bigint")
-        counted = clustered(wh[name], table).observe(seen, F.count(F.lit(1)).alias("rows"), F.max(F.lit(0)).alias("z"), *(
-            [nulls.alias("nulls")] if key else []
-        ))
-        counted.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
+        watched = [F.count(F.lit(1)).alias("rows")]
+        if key:
+            watched.append(F.count(F.when(F.col(key).isNull(), 1)).alias("nulls"))
+        clustered(wh[name], table).observe(seen, *watched).write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
         if seen.get.get("nulls", 0):
             raise ValueError(f"{name}.{key} holds {seen.get['nulls']} NULLs; {version} is not published")
         log.append((version, wh.tenant, name, int(seen.get["rows"]), round(time.monotonic() - started, 3)))

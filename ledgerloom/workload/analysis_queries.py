@@ -18,7 +18,7 @@ def queries() -> dict[str, Query]:
         a.late_but_paid_fast, a.category_stock_pressure, a.segment_revenue_and_collection, a.subsidiary_cash_cycle,
         a.suppliers_delaying_shipments, a.tier_swap_saving, a.dual_source_priority,
         a.fast_and_slow_movers, a.stockouts_in_last_quarter, a.customers_hit_twice, a.otif_misses, a.pareto_shares,
-        a.slow_payers, a.unpaid_invoices,
+        a.slow_payers, a.unpaid_invoices, a.annual_figures, a.margin_spread,
     ]
     found = {f"analysis_{fn.__name__}": on_distributor(fn) for fn in plain}
     found |= {

@@ -49,7 +49,7 @@ def refreshed_counts(wh: Any) -> DataFrame:
     current = files.open_current(wh.spark, wh.tenant, folder)
     stored = files.catalog_counts(current, FURNITURE_TABLES)
     audited = wh.spark.read.parquet(f"{folder}/_audit").select("table_name", F.col("row_count").alias("audited_rows"))
-    return stored.join(audited, "table_name", "left")
+    return stored.join(audited, "table_name")
 
 
 def patched_orders(wh: Any) -> DataFrame:
@@ -114,7 +114,9 @@ def queries() -> dict[str, Query]:
         "derive_calendar": on_distributor(lambda wh: wh["dim_date"].select(*CALENDAR_SHOWN)),
         "derive_invoices": on_furniture(lambda wh: wh["fact_invoice"]),
         "derive_promise_dates": on_distributor(promise_dates),
-        "derive_inventory_ledger": on_distributor(lambda wh: wh["inv_transaction"]),
+        "derive_inventory_ledger": on_distributor(
+            lambda wh: wh["inv_transaction"].withColumn("supplier_key", F.coalesce("supplier_key", F.lit(-1)))
+        ),
         "derive_journal_by_month": on_distributor(journal_by_month),
         "derive_balances_yearly": on_distributor(lambda wh: derive.roll_gl_balances(wh["gl_journal_line"], "year")),
         "derive_balances_running": on_distributor(lambda wh: derive.roll_gl_balances(wh["gl_journal_line"], "never")),

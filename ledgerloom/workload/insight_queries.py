@@ -59,6 +59,9 @@ def queries() -> dict[str, Query]:
         ),
         "insight_break_in_customer_revenue": on_distributor(lambda wh: i.natural_break(customer_revenue(wh), "revenue")),
         "insight_break_in_supplier_lateness": on_distributor(lambda wh: i.natural_break(late_days(wh), "avg_late_days")),
+        "insight_first_break_in_supplier_lateness": on_distributor(
+            lambda wh: i.natural_break(late_days(wh), "avg_late_days", pick="first")
+        ),
         "insight_constant_columns": on_distributor(lambda wh: i.constant_columns(wh["inv_balance_snapshot"])),
         "insight_result_shapes": on_distributor(_shapes),
     }

@@ -25,6 +25,18 @@ FURNITURE_RANGES = {
 }
 
 
+DISTRIBUTOR_RANGES = {
+    "total_revenue": (1e5, 1e15), "gross_margin_pct": (0, 100), "avg_order_value": (100, 1e6), "order_count": (1, 1e12),
+    "avg_order_to_ship_days": (0, 30), "return_rate_pct": (0, 10), "dso_days": (0, 120), "ar_open_balance": (0, 1e15),
+    "overdue_invoice_pct": (0, 100), "avg_days_to_pay_vs_terms": (-30, 60), "collection_days_by_segment": (1, 10),
+    "dpo_days": (0, 120), "supplier_on_time_delivery_pct": (0, 100), "avg_po_late_days_by_supplier": (1, 1e9),
+    "open_payables": (0, 1e15), "spend_by_supplier": (1, 1e9), "dio_days": (0, 365), "inventory_value_on_hand": (0, 1e15),
+    "stockout_rate_pct": (0, 100), "inventory_turns": (0, 1000), "slow_moving_inventory_value": (0, 1e15),
+    "gl_revenue_by_period": (1, 1200), "gl_cogs_trend": (1, 1200), "cash_conversion_cycle_days": (-100, 365),
+    "supplier_lateness_cash_impact": (4, 4), "otif_pct": (0, 100),
+}
+
+
 def _plain(tenant: str, name: str) -> Query:
     on = on_furniture if tenant == "furniture" else on_distributor
     return on(lambda wh: metric(name, tenant).compute(wh, **ARGUMENTS.get((tenant, name), {})))
@@ -91,6 +103,7 @@ def queries() -> dict[str, Query]:
             "cancellation_rate", Period.quarter(2000, 3), Period.quarter(2000, 2), "furniture",
             by=["dim_customer.customer_segment"],
         ),
+        "validate_distributor_metrics": on_distributor(lambda wh: validate_metrics(wh, DISTRIBUTOR_RANGES)),
         "validate_furniture_metrics": on_furniture(
             lambda wh: validate_metrics(
                 wh, FURNITURE_RANGES, {n: a for (t, n), a in ARGUMENTS.items() if t == wh.tenant}

@@ -67,6 +67,13 @@ def distributor_acceptance(wh: Any) -> DataFrame:
         q.in_band(pareto.where(F.col("side") == side), "share", lo, hi, f"band:pareto_{side}")
         for side, lo, hi in (("supplier", 0.7, 0.8), ("customer", 0.2, 0.65))
     ]
+    year = a.annual_figures(wh)
+    bands += [
+        q.in_band(year, "annual_revenue", 250e6, 1e9, "band:annual_revenue"),
+        q.in_band(year, "dio_days", 10, 90, "band:annual_dio"),
+        q.in_band(year, "ccc_days", 10, 91, "band:annual_ccc"),
+        q.in_band(a.margin_spread(wh), "spread", 10, 100, "band:margin_spread"),
+    ]
     tiers = metric("supplier_lateness_cash_impact").compute(wh)
     payers = a.slow_payers(wh)
     return q.report(

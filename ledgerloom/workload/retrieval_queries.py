@@ -185,7 +185,8 @@ def answers(wh: Any) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def scored_answers(wh: Any) -> DataFrame:
-    return e.score_runs(*answers(wh)).select("id", "mode", "tier", "r_score", "a_score")
+    scored = e.score_runs(*answers(wh))
+    return scored.select("id", "mode", "tier", F.col("r_score").cast("double"), F.col("a_score").cast("double"))
 
 
 def controls(wh: Any) -> DataFrame:

@@ -17,6 +17,14 @@ def _drivers(measure: str, dims: list[tuple[str, str]]) -> str:
       SELECT dimension, rank, label, ROUND(value, 4) AS value, {SHARE.format(w='PARTITION BY dimension')} AS share FROM k WHERE rank <= 8"""
 
 
+def _first_break(source: str) -> str:
+    return f"""WITH x AS ({source}), g AS (SELECT v, v - LAG(v) OVER (ORDER BY v) AS gap FROM (SELECT DISTINCT v FROM x)),
+      t AS (SELECT quantile_cont(gap, 0.5) AS typical FROM g), e AS (SELECT MAX(v) AS edge FROM g, t WHERE gap >= 2 * typical)
+      SELECT COUNT(*) AS row_count, COUNT(*) > 15 AND MAX(edge) IS NOT NULL AS has_break,
+        CASE WHEN COUNT(*) > 15 AND MAX(edge) IS NOT NULL THEN COUNT(CASE WHEN v >= edge THEN 1 END) ELSE COUNT(*) END AS prefix_rows,
+        CASE WHEN COUNT(*) > 15 THEN ROUND(MAX(edge), 4) END AS threshold FROM x, e"""
+
+
 def _break(source: str) -> str:
     return f"""WITH x AS ({source}), g AS (SELECT v, v - LAG(v) OVER (ORDER BY v) AS gap FROM (SELECT DISTINCT v FROM x)),
       t AS (SELECT quantile_cont(gap, 0.5) AS typical, MAX(gap) AS widest FROM g),
@@ -41,6 +49,7 @@ def sql() -> dict[str, str]:
         "insight_drivers_of_margin": _drivers("SUM(s.ext_amount - s.ext_cost) / SUM(s.ext_amount) * 100", [segment, category]),
         "insight_break_in_customer_revenue": _break("SELECT ROUND(SUM(ext_amount), 2) AS v FROM o2c_sales_order_line GROUP BY customer_key"),
         "insight_break_in_supplier_lateness": _break("SELECT ROUND(AVG(late_days), 4) AS v FROM p2p_purchase_order_line GROUP BY supplier_key"),
+        "insight_first_break_in_supplier_lateness": _first_break("SELECT ROUND(AVG(late_days), 4) AS v FROM p2p_purchase_order_line GROUP BY supplier_key"),
         "insight_constant_columns": " UNION ALL ".join(
             f"SELECT '{c}' AS column_name, CAST(MIN({c}) AS VARCHAR) AS constant_value FROM inv_balance_snapshot HAVING COUNT(DISTINCT {c}) = 1"
             for c in ("snapshot_date", "item_key", "warehouse_key", "subsidiary_key", "qty_on_hand", "value_on_hand", "is_stockout")

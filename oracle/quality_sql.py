@@ -91,6 +91,15 @@ def sql() -> dict[str, str]:
               "share", f"share BETWEEN {lo} AND {hi}")
         for side, lo, hi in (("supplier", 0.7, 0.8), ("customer", 0.2, 0.65))
     ]
+    bands += [
+        check(f"band:{n}", "within band", text, a[f"analysis_{src}"], c, f"{c} BETWEEN {lo} AND {hi}")
+        for n, text, src, c, lo, hi in (
+            ("annual_revenue", "2.5e+08..1e+09", "annual_figures", "annual_revenue", 250e6, 1e9),
+            ("annual_dio", "10..90", "annual_figures", "dio_days", 10, 90),
+            ("annual_ccc", "10..91", "annual_figures", "ccc_days", 10, 91),
+            ("margin_spread", "10..100", "margin_spread", "spread", 10, 100),
+        )
+    ]
     rising = [
         check(f"gradient:{c}", "steps over reliability_tier that do not rise", "0",
               f"SELECT COUNT(CASE WHEN NOT up THEN 1 END) n, COUNT(*) g FROM (SELECT {c} > LAG({c}) OVER (ORDER BY reliability_tier) AS up FROM ({tiers}))",

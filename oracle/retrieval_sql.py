@@ -125,7 +125,7 @@ def sql() -> dict[str, str]:
           t AS (SELECT query_id, ROUND(GREATEST(0, score), 4) AS s FROM near WHERE rank = 1)
           SELECT COUNT(s) AS answered, COUNT(CASE WHEN s > 0.4 THEN 1 END) AS high_scores, COUNT(CASE WHEN s < 0.38 THEN 1 END) AS low_scores,
             COUNT(*) - COUNT(s) AS empty FROM queries q LEFT JOIN t ON q.query_id = t.query_id""",
-        "evaluation_run_scores": f"WITH {ANSWERS} SELECT id, mode, tier, r_score, a_score FROM sc",
+        "evaluation_run_scores": f"WITH {ANSWERS} SELECT id, mode, tier, CAST(r_score AS DOUBLE) AS r_score, CAST(a_score AS DOUBLE) AS a_score FROM sc",
         "evaluation_controls": f"""WITH {ANSWERS} SELECT id, mode, CASE WHEN n % 2 = 0 THEN 'no_foreign' ELSE 'refuse' END AS control,
           CASE WHEN n % 2 = 0 THEN TRUE ELSE refused END AS passed FROM sc WHERE n % 5 = 4""",
         "evaluation_tier_mode_summary": f"""WITH {ANSWERS} SELECT COALESCE(tier, 'all') AS tier, mode, COUNT(*) AS n, ROUND(AVG(r_score), 4) AS mean_r,

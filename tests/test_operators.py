@@ -158,6 +158,8 @@ BREAK = [16.3, 15.3, 15.2, 14.9, 14.7, 14.3, 13.9, 7.9, 7.8, 7.8, 7.5, 7.4, 7.2,
 def test_natural_break(spark):
     row = insights.natural_break(values(spark, BREAK), "x").collect()[0]
     assert (row["row_count"], row["has_break"], row["prefix_rows"], row["threshold"]) == (16, True, 7, 13.9)
+    first = insights.natural_break(values(spark, BREAK), "x", pick="first").collect()[0]
+    assert (first["prefix_rows"], first["threshold"]) == (1, 16.3)
     even = insights.natural_break(values(spark, range(16)), "x").collect()[0]
     assert (even["has_break"], even["prefix_rows"], even["threshold"]) == (False, 16, None)
     few = insights.natural_break(values(spark, BREAK[:15]), "x").collect()[0]
