@@ -11,6 +11,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"), F.lit(1))
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens there are, without making them."""
+    return F.regexp_count(F.lower(text), F.lit(r"\w+"))
+
+
 def token_estimate(text: Column) -> Column:
     """About four characters per token."""
     return F.ceil(F.length(text) / 4)

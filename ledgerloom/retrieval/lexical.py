@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import tokens
+from ledgerloom.functions.text import token_count, tokens
 from ledgerloom.operators.ranking import top_n_per_group
 
 K1 = 1.5
@@ -18,7 +18,7 @@ B = 0.75
 
 def corpus_statistics(docs: DataFrame) -> DataFrame:
     """``tenant, n_docs, avgdl``."""
-    return docs.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
+    return docs.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(token_count(F.col("text"))).alias("avgdl"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

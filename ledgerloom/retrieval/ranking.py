@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,25 +35,33 @@ def fuse(dense: DataFrame, lexical: DataFrame, k: int = 5, depth: int = FUSE_DEP
     return ranked.select("query_id", "rank", "id", "fused")
 
 
-def known_tenants_only(docs: DataFrame, tenants: list[str]) -> None:
-    """Raise for a tenant the corpus does not have."""
-    known = {r[0] for r in docs.where(F.col("tenant").isin(tenants)).select("tenant").distinct().collect()}
-    unknown = sorted(set(tenants) - known)
-    if unknown:
-        raise ValueError(f"unknown tenant {unknown}")
+def known_tenants_only(queries: DataFrame, tenants: Sequence[str]) -> DataFrame:
+    """The queries; one of a tenant that is not listed raises when they are read."""
+    unknown = F.raise_error(F.concat(F.lit("unknown tenant "), F.coalesce("tenant", F.lit("NULL"))))
+    return queries.withColumn("tenant", F.when(F.col("tenant").isin(list(tenants)), F.col("tenant")).otherwise(unknown))
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, k: int = 5, ranker: str = "rrf", metadata: dict[str, str] | None = None) -> DataFrame:
+def retrieve(
+    docs: DataFrame,
+    queries: DataFrame,
+    k: int = 5,
+    ranker: str = "rrf",
+    metadata: Mapping[str, str] | None = None,
+    tenants: Sequence[str] | None = None,
+) -> DataFrame:
     """``query_id, rank, id, score`` with the chosen ranker.
 
     ``docs`` is ``(id, tenant, text, vector, ...)`` and ``queries`` ``(query_id, tenant,
     text, vector)``. The tenant and the ``metadata`` equalities cut the corpus before it is
-    ranked. A blank query gets no results. ``rrf`` reports the cosine, in fused order, so
+    ranked; with ``tenants`` given, a query of any other tenant is an error. A blank query gets
+    no results. ``rrf`` reports the cosine, in fused order, so
     its scores need not fall.
     """
     for column, wanted in (metadata or {}).items():
         docs = docs.where(F.col(column) == F.lit(wanted))
     asked = queries.where(F.trim("text") != "")
+    if tenants is not None:
+        asked = known_tenants_only(asked, tenants)
     if ranker == "bm25":
         return bm25(docs, asked, k).select("query_id", "rank", "id", F.round("normalized", 4).alias("score"))
     if ranker == "dense":

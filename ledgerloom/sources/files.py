@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -74,6 +75,7 @@ def full_refresh(
     tables: Sequence[str] | None = None,
     audit: str | None = None,
     shared_steps: Sequence[str] | None = None,
+    concurrent_writes: int = 4,
 ) -> str:
     """Write tables to a new version folder and make it current once all are written and sound.
 
@@ -86,14 +88,14 @@ def full_refresh(
     """
     version = f"version-{time.strftime('%Y%m%d%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"
     wanted = [n for n in load_order(wh.catalog, wh.tenant) if n in set(tables or list(wh))]
-    log = []
     if shared_steps is None:
         shared_steps = SHARED_STEPS if tables is None else ()
     for step in shared_steps:
         if wh.has(step):
             wh[step].write.mode("overwrite").parquet(f"{folder}/{version}/_steps/{step}")
             wh = wh.replaced(**{step: wh.spark.read.parquet(f"{folder}/{version}/_steps/{step}")})
-    for name in wanted:
+
+    def write(name: str) -> tuple[str, str, str, int, float]:
         table = wh.catalog.table(wh.tenant, name)
         key = table.primary_key
         seen = Observation(f"{wh.tenant}_{name}_{version}")
@@ -101,10 +103,15 @@ def full_refresh(
         watched = [F.count(F.lit(1)).alias("rows")]
         if key:
             watched.append(F.count(F.when(F.col(key).isNull(), 1)).alias("nulls"))
-        clustered(wh[name], table).observe(seen, *watched).write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
+        clustered(frames[name], table).observe(seen, *watched).write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
         if seen.get.get("nulls", 0):
             raise ValueError(f"{name}.{key} holds {seen.get['nulls']} NULLs; {version} is not published")
-        log.append((version, wh.tenant, name, int(seen.get["rows"]), round(time.monotonic() - started, 3)))
+        return version, wh.tenant, name, int(seen.get["rows"]), round(time.monotonic() - started, 3)
+
+    # plans are made here in load order; writes overlap so that one table's last tasks do not idle the cluster
+    frames = {name: wh[name] for name in wanted}
+    with ThreadPoolExecutor(max_workers=concurrent_writes) as pool:
+        log = list(pool.map(write, wanted))
     wh.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{folder}/_current")
     if audit:
         append_audit(wh.spark, log, audit)

@@ -93,9 +93,10 @@ def test_confidence_bands(spark):
 
 def test_unknown_tenant_and_ranker(spark):
     docs = spark.createDataFrame(DOCS, DOC)
-    r.known_tenants_only(docs, ["a", "b"])
-    with pytest.raises(ValueError, match="unknown tenant"):
-        r.known_tenants_only(docs, ["z"])
+    asked = spark.createDataFrame([(1, "a", "month"), (2, "z", "month")], QUERY)
+    assert r.retrieve(docs, asked.where("query_id = 1"), 5, "bm25", tenants=["a", "b"]).count() == 2
+    with pytest.raises(Exception, match="unknown tenant z"):
+        r.retrieve(docs, asked, 5, "bm25", tenants=["a", "b"]).collect()
     with pytest.raises(ValueError, match="unknown ranker"):
         r.retrieve(docs, spark.createDataFrame([(1, "a", "x")], QUERY), ranker="guess")
 
