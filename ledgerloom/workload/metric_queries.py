@@ -15,6 +15,9 @@ ARGUMENTS: dict[tuple[str, str], dict[str, Any]] = {
     ("furniture", "repeat_customer_rate"): {"period": Period.quarter(2000, 3)},
 }
 
+# sums over all rows: a double holds no more than cents of them at larger scales
+LARGE_TOTALS = {"total_revenue", "cogs", "gross_profit"}
+
 # accepted range of each furniture metric: value, or number of rows when grouped
 FURNITURE_RANGES = {
     "total_revenue": (1e5, 1e15), "revenue_growth_yoy": (-50, 200), "average_order_value": (100, 1e6),
@@ -39,7 +42,8 @@ DISTRIBUTOR_RANGES = {
 
 def _plain(tenant: str, name: str) -> Query:
     on = on_furniture if tenant == "furniture" else on_distributor
-    return on(lambda wh: metric(name, tenant).compute(wh, **ARGUMENTS.get((tenant, name), {})))
+    digits = 2 if name in LARGE_TOTALS else 4
+    return on(lambda wh: metric(name, tenant).compute(wh, **ARGUMENTS.get((tenant, name), {})), digits)
 
 
 def _sliced(name: str, tenant: str = "distributor", **arguments: Any) -> Query:
@@ -103,11 +107,12 @@ def queries() -> dict[str, Query]:
             "cancellation_rate", Period.quarter(2000, 3), Period.quarter(2000, 2), "furniture",
             by=["dim_customer.customer_segment"],
         ),
-        "validate_distributor_metrics": on_distributor(lambda wh: validate_metrics(wh, DISTRIBUTOR_RANGES)),
+        "validate_distributor_metrics": on_distributor(lambda wh: validate_metrics(wh, DISTRIBUTOR_RANGES), 2),
         "validate_furniture_metrics": on_furniture(
             lambda wh: validate_metrics(
                 wh, FURNITURE_RANGES, {n: a for (t, n), a in ARGUMENTS.items() if t == wh.tenant}
-            )
+            ),
+            2,
         ),
     }
     return found
