@@ -149,8 +149,14 @@ def _item_tier(wh: Warehouse) -> DataFrame:
 
 
 def _item_sourcing(wh: Warehouse) -> DataFrame:
-    """The same with the unit cost."""
-    return wh["item_tier"].join(wh["dim_item"].select("item_key", "unit_cost"), "item_key")
+    """The same with the unit cost.
+
+    The supplier is joined last. The result then lies by supplier and is shuffled again when
+    a fact joins it by item: AQE splits a hot item only between two fresh shuffles.
+    """
+    terms = wh["dim_supplier"].select("supplier_key", "reliability_tier", "payment_days")
+    costs = wh["dim_item"].select("item_key", "unit_cost")
+    return wh["item_supplier"].join(costs, "item_key").join(terms, "supplier_key")
 
 
 def _order_lines(wh: Warehouse) -> DataFrame:

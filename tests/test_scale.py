@@ -140,3 +140,15 @@ def test_shared_frames_are_checkpointed_where_the_cluster_names_a_folder(spark,
     finally:
         spark.sparkContext._jsc.sc().setCheckpointDir(None)
     assert spark.sparkContext.getCheckpointDir() is None
+
+
+def test_fact_and_item_side_are_both_freshly_shuffled(no_broadcast):
+    """AQE splits a hot key only when both inputs of the join are shuffles of their own."""
+    wh = distributor(no_broadcast, SMALL)
+    for fact, key in (("purchases", "item_key"), ("shipped_orders", "item_key"), ("invoice_terms", "customer_key")):
+        joins = re.split(r"\n", plan(wh[fact]))
+        top = next(i for i, line in enumerate(joins) if "SortMergeJoin" in line and key in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        sorts = [i for i in range(top + 1, len(joins)) if depth(joins[i]) == depth(joins[top]) + 3]
+        assert len(sorts) == 2
+        assert all("Sort" in joins[i] and "Exchange hashpartitioning" in joins[i + 1] for i in sorts), fact
