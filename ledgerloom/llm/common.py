@@ -15,6 +15,7 @@ BROADCAST_ROWS = 1_000_000
 # fixed patterns of the contracts
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ALNUM_GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPACE_GAP = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 
@@ -89,14 +90,19 @@ def only(rows: DataFrame, keys: DataFrame, count: int | None = None, anti: bool
 
 
 def lowered(text: Column) -> Column:
-    """A-Z to a-z, nothing else."""
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    """A-Z to a-z, nothing else. An ASCII text takes the quick way."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def alnum_words(text: Column) -> Column:
     """Words of letters, digits and all non-ASCII characters, A-Z lower-cased; null has none."""
-    joined = F.trim(F.regexp_replace(lowered(F.coalesce(text, F.lit(""))), ALNUM_GAP, " "))
-    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
+    return F.array_remove(F.split(lowered(F.coalesce(text, F.lit(""))), ALNUM_GAP), "")
+
+
+def n_alnum_words(text: Column) -> Column:
+    """How many there are, without lower-casing."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), ALNUM_GAP_ANY_CASE), ""))
 
 
 def space_words(text: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BROADCAST_ROWS, alnum_words, join_keyed, stored, text_hash
+from ledgerloom.llm.common import (
+    BROADCAST_ROWS, alnum_words, join_keyed, n_alnum_words, positions, stored, text_hash,
+)
 
 SPAN = 13  # words of a window
 GRAM = 6  # words of a fingerprint
@@ -74,25 +76,42 @@ def _run_length(doc_words: Column, item_words: str, first: Column, step: int) ->
     return F.when(at == 0, F.size(item_words)).otherwise(at - 1)
 
 
+def _around(p: Column) -> Column:
+    """The words of every window that holds the fingerprint at ``p``."""
+    return F.slice("words", F.greatest(p - REACH, F.lit(0)) + 1, F.least(p, F.lit(REACH)) + GRAM + REACH)
+
+
 def _long_hits(words: DataFrame, items: DataFrame) -> DataFrame:
-    """Runs of SPAN or more words shared with an item, found at fingerprints and extended."""
+    """Runs of SPAN or more words shared with an item, found at fingerprints and extended.
+
+    A fingerprint carries the few words around it, never its document: a long text would
+    otherwise be copied for each of its fingerprints.
+    """
+    index = _item_index(items)
+    chosen = winnowed(with_grams(words))
+    small = index.count() <= BROADCAST_ROWS
+
+    def fingerprint(p: Column) -> Column:
+        fields = [p.alias("p"), F.get("grams", p).alias("gram")]
+        return F.struct(*fields, _around(p).alias("around")) if small else F.struct(*fields)
+
     # explode_outer: a plain explode infers a filter that Catalyst pushes below every step of
     # the hashing, which would compute each step again; the join drops the null rows
-    index = _item_index(items)
-    prints = winnowed(with_grams(words)).select(
-        "doc_id", "text_key", "words", "grams", F.explode_outer("chosen").alias("p")
-    ).select("doc_id", "text_key", "words", "p", F.get("grams", F.col("p")).alias("gram"))
-    if index.count() <= BROADCAST_ROWS:
+    prints = chosen.withColumn("prints", F.transform("chosen", fingerprint)).select(
+        "doc_id", "text_key", F.explode_outer("prints").alias("f")
+    ).select("doc_id", "text_key", "f.*")
+    if small:
         met = prints.join(F.broadcast(index), "gram")
     else:
         # a benchmark beyond the bound: move fingerprints, then fetch the words of hit documents
-        hits = prints.select("doc_id", "text_key", "p", "gram").join(index, "gram")
+        hits = prints.join(index, "gram")
         met = join_keyed(hits, words.dropDuplicates(["doc_id", "text_key"]), "inner")
-    p = F.col("p")
-    extended = met.where(F.slice("words", p + 1, GRAM) == F.col("i_gram")).select(
+        met = met.withColumn("around", _around(F.col("p"))).drop("words")
+    p, at = F.col("p"), F.least(F.col("p"), F.lit(REACH))
+    extended = met.where(F.slice("around", at + 1, GRAM) == F.col("i_gram")).select(
         "doc_id", "text_key", "item_id", "p",
-        _run_length(F.col("words"), "i_left", p - 1, -1).alias("left"),
-        _run_length(F.col("words"), "i_right", p + GRAM, 1).alias("right"),
+        _run_length(F.col("around"), "i_left", at - 1, -1).alias("left"),
+        _run_length(F.col("around"), "i_right", at + GRAM, 1).alias("right"),
     )
     return extended.where(F.col("left") + GRAM + F.col("right") >= SPAN).select(
         "doc_id", "text_key", "item_id",
@@ -102,23 +121,19 @@ def _long_hits(words: DataFrame, items: DataFrame) -> DataFrame:
 
 def _short_hits(words: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
     """Places of whole items of fewer than SPAN words, by the hash of their words."""
-    short = items.where((F.size("words") > 0) & (F.size("words") < SPAN)).select(
-        "item_id", F.size("words").alias("n"), F.hash(F.get("words", F.lit(0))).alias("first"), "words"
-    ).withColumnRenamed("words", "i_words")
-    parts = words.select(
-        "doc_id", "text_key", "words", F.posexplode_outer("words").alias("p", "word")
-    ).select("doc_id", "text_key", "words", "p", F.explode(F.array(*map(F.lit, lengths))).alias("n"), F.hash("word").alias("first"))
-    starts = parts.where(F.col("p") + F.col("n") <= F.size("words")).withColumn(
-        "gram", F.xxhash64(F.array_join(F.slice("words", F.col("p") + 1, F.col("n")), " "))
+    short = items.where((F.size("words") > 0) & (F.size("words") < SPAN)).withColumnRenamed("words", "i_words")
+    parts = words.select("doc_id", "text_key", "words", F.explode(F.array(*map(F.lit, lengths))).alias("n"))
+    runs = F.transform(
+        positions(F.size("words") - F.col("n") + 1),
+        lambda p: F.struct(p.alias("p"), F.array_join(F.slice("words", p + 1, F.col("n")), " ").alias("run")),
     )
-    index = short.withColumn("gram", F.xxhash64(F.array_join("i_words", " "))).drop("first", "n")
-    if index.count() <= BROADCAST_ROWS:
-        met = starts.join(F.broadcast(index), "gram")
-    else:
-        met = starts.select("doc_id", "text_key", "p", "n", "gram").join(index, "gram")
-        met = join_keyed(met, words.dropDuplicates(["doc_id", "text_key"]), "inner")
-    return met.where(F.slice("words", F.col("p") + 1, F.col("n")) == F.col("i_words")).select(
-        "doc_id", "text_key", "item_id", F.col("p").alias("start"), (F.col("p") + F.col("n") - 1).alias("stop")
+    starts = parts.select("doc_id", "text_key", "n", F.explode_outer(runs).alias("r")).select(
+        "doc_id", "text_key", "n", F.col("r.p").alias("p"), F.xxhash64("r.run").alias("gram"), F.col("r.run").alias("run")
+    )
+    index = short.select("item_id", F.array_join("i_words", " ").alias("i_run")).withColumn("gram", F.xxhash64("i_run"))
+    side = F.broadcast(index) if index.count() <= BROADCAST_ROWS else index
+    return starts.join(side, "gram").where("run = i_run").select(
+        "doc_id", "text_key", "item_id", F.col("p").alias("start"), (F.col("p") + F.col("n") - 1).cast("int").alias("stop")
     )
 
 
@@ -151,7 +166,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     summary = runs.select(
         "doc_id", "text_key", F.size(covered).cast("long").alias("hit"), F.array_sort("items").alias("items")
     )
-    counted = words.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"))
+    counted = docs.select("doc_id", text_hash().alias("text_key"), n_alnum_words(F.col("text")).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     items = F.coalesce("items", none)
     n_hit = F.coalesce("hit", F.lit(0))
