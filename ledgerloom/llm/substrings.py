@@ -149,19 +149,17 @@ def _by_suffix(pieces: DataFrame, width: int) -> DataFrame:
             given = [(int(a).to_bytes(8, "big", signed=True), t, i) for i, (a, _, _, t) in enumerate(group)]
             piece, start, elsewhere, earlier = repeated_windows(given, width)
             out: dict[str, list] = {"h1": [], "h2": [], "from": [], "to": [], "earlier": []}
+            # every window of a piece holds its anchor, so those found cover one run
             for flag, mark in ((elsewhere, False), (earlier, True)):
                 at = np.flatnonzero(flag)
-                if len(at):
-                    new = np.ones(len(at), bool)
-                    new[1:] = (piece[at[1:]] != piece[at[:-1]]) | (start[at[1:]] != start[at[:-1]] + 1)
-                    first = np.flatnonzero(new)
-                    last = np.append(first[1:], len(at)) - 1
-                    for a, b in zip(at[first], at[last]):
-                        out["h1"].append(group[piece[a]][1])
-                        out["h2"].append(group[piece[a]][2])
-                        out["from"].append(int(start[a]))
-                        out["to"].append(int(start[b]) + width)
-                        out["earlier"].append(mark)
+                first = np.flatnonzero(np.diff(piece[at], prepend=-1))
+                last = np.append(first[1:], len(at)) - 1
+                for a, b in zip(at[first], at[last]):
+                    out["h1"].append(group[piece[a]][1])
+                    out["h2"].append(group[piece[a]][2])
+                    out["from"].append(int(start[a]))
+                    out["to"].append(int(start[b]) + width)
+                    out["earlier"].append(mark)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
@@ -206,9 +204,10 @@ def _by_window(pieces: DataFrame, width: int) -> DataFrame:
     rows = stored(rows.withColumn("place", F.struct("doc_id", "text_key", (F.col("start") + F.col("at")).alias("at"))), "windows")
     classes = rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least")).where("n > 1")
     met = rows.join(classes, ["w1", "w2"]).select("h1", "h2", "at", (F.col("place") != F.col("least")).alias("earlier"))
-    # windows of a piece that follow each other need no merging: runs are joined per document
-    runs = met.select("h1", "h2", F.col("at").alias("from"), (F.col("at") + width).alias("to"), "earlier")
-    return runs.withColumn("earlier", F.lit(False)).unionByName(runs.where("earlier"))
+    # every window of a piece holds its anchor, so those found cover one run
+    run = [F.min("at").alias("from"), (F.max("at") + width).alias("to")]
+    anywhere = met.groupBy("h1", "h2").agg(*run).withColumn("earlier", F.lit(False))
+    return anywhere.unionByName(met.where("earlier").groupBy("h1", "h2").agg(*run).withColumn("earlier", F.lit(True)))
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, keep: str = "first") -> DataFrame:
@@ -226,10 +225,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, keep: str = "first") ->
     """
     pieces = stored(_pieces(docs, width), "pieces")
     shared = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor")
+    # stored on its own: a join of two plain exchanges can split a hot anchor
+    shared = stored(shared, "shared-anchors")
     pieces = stored(pieces.join(shared, "anchor", "left_semi"), "shared-pieces")
     place = F.struct("doc_id", "text_key", "start", "stop")
     classes = pieces.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    crowds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd"))
+    classes = stored(classes, "classes")
+    crowds = stored(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")), "crowds")
     classes = stored(
         classes.join(crowds, "anchor").select("anchor", "h1", "h2", "n", "crowd", "first.*"), "piece-classes"
     )
