@@ -191,8 +191,9 @@ def _rest_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidates among those members, exactly: similar sets share a token of their prefixes.
 
     Tokens are ordered by the number of sets that hold them, rarest first. Of sets of x and y
-    tokens, ``percent`` similar, the first x - ceil(percent x) + 1 and the same of y meet, and
-    neither is larger than the other allows. Groups that are already one are left out.
+    tokens, ``percent`` similar, the first x - ceil(percent x) + 1 and the same of y meet. A
+    pair counts at its first common token, at places i and j: it then shares at most the lesser
+    of x - i and y - j, which must be enough. Groups that are already one are left out.
     """
     own = rest.join(sets, F.col("node.words") == sets["words"]).select("node", "label", "set", F.size("set").alias("size"))
     tokens = own.select("node", "label", "size", F.explode("set").alias("token"))
@@ -201,17 +202,23 @@ def _rest_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("tokens")
     )
     least = F.ceil(F.col("size") * percent / 100).cast("int")
-    prefix = F.slice("tokens", 1, F.col("size") - least + 1)
+    placed = F.transform(F.slice("tokens", 1, F.col("size") - least + 1), lambda t, i: F.struct(t["n"].alias("n"), t["token"].alias("token"), i.alias("i")))
     # a token of one set only meets nothing
-    at = ranked.select("node", "label", "size", F.explode(F.filter(prefix, lambda t: t["n"] > 1)).alias("t")).select(
-        "node", "label", "size", F.col("t.token").alias("token")
+    prefix = F.filter(placed, lambda t: t["n"] > 1)
+    at = ranked.select("node", "label", "size", prefix.alias("prefix")).select(
+        "node", "label", "size", F.col("prefix.token").alias("own"), F.explode("prefix").alias("t")
+    ).select("node", "label", "size", "own", F.col("t.token").alias("token"), F.col("t.i").alias("i"))
+    other = at.select(
+        "token", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("own").alias("ob"),
+        F.col("i").alias("j"),
     )
-    other = at.select("token", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"))
+    most = F.least(F.col("size") - F.col("i"), F.col("nb") - F.col("j"))
     met = at.withColumnRenamed("node", "a").join(other, "token").where(
         (F.col("a") < F.col("b")) & (F.col("label") != F.col("lb"))
-        & (100 * F.col("size") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("size"))
+        & (100 * most >= percent * (F.col("size") + F.col("nb") - most))
+        & (F.get(F.array_intersect("own", "ob"), F.lit(0)) == F.col("token"))
     )
-    return met.select("a", "b").distinct()
+    return met.select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
