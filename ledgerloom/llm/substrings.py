@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +16,12 @@ from ledgerloom.llm.numeric import RangeHash, as_bytes, in_batches, joined
 WIDTH = 400  # bytes of a repeated string
 GRAM = 64  # bytes of an anchor
 CROWD = 256  # different pieces of one anchor that are put in suffix order together
+SLICE_STEPS = 48  # windows to a slice
 BATCH_WINDOWS = 40_000
 
 
 def anchored_pieces(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
-    """Cut the texts into pieces by anchors: text, start, end, anchor hash, two piece hashes.
+    """Cut the texts into pieces by anchors: text, start, end, anchor hash, two hashes, anchor place.
 
     The anchor of a window of ``width`` bytes is its least hashed GRAM, the leftmost of equal
     ones. A piece is a longest run of windows with one anchor. The anchor follows from the
@@ -28,7 +30,7 @@ def anchored_pieces(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     buffer, text_starts, text_ends = joined(texts)
     n_windows = len(buffer) - width
     if n_windows < 1:
-        return [np.empty(0, np.int64)] * 6
+        return [np.empty(0, np.int64)] * 7
     one, two = RangeHash(buffer, 1), RangeHash(buffer, 2)
     at = np.arange(len(buffer) - GRAM + 1)
     grams = one(at, at + GRAM)
@@ -50,7 +52,8 @@ def anchored_pieces(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     ends = last + width
     text = owner[first]
     where = [text, first - text_starts[text], ends - text_starts[text]]
-    return [*where, *(h.view(np.int64) for h in (grams[anchor[first]], one(first, ends), two(first, ends)))]
+    hashes = (grams[anchor[first]], one(first, ends), two(first, ends))
+    return [*where, *(h.view(np.int64) for h in hashes), anchor[first] - text_starts[text]]
 
 
 def longest_previous(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
@@ -115,10 +118,10 @@ def _pieces(docs: DataFrame, width: int) -> DataFrame:
                 rows_of = pa.array(text + begin)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(rows_of), batch.column("text_key").take(rows_of), *map(pa.array, columns)],
-                    names=["doc_id", "text_key", "start", "stop", "anchor", "h1", "h2"],
+                    names=["doc_id", "text_key", "start", "stop", "anchor", "h1", "h2", "middle"],
                 )
 
-    names = "start long, stop long, anchor long, h1 long, h2 long"
+    names = "start long, stop long, anchor long, h1 long, h2 long, middle long"
     return rows.mapInArrow(cut, f"doc_id {kind}, text_key long, {names}")
 
 
@@ -126,11 +129,11 @@ def _texts_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The bytes of each class of pieces, cut from the document of its first occurrence."""
     rows = only(keyed(docs), classes).dropDuplicates(["doc_id", "text_key"])
     per_doc = classes.groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("start", "stop", "anchor", "h1", "h2", "n", "crowd")).alias("cuts")
+        F.collect_list(F.struct("start", "stop", "middle", "anchor", "h1", "h2", "n", "crowd")).alias("cuts")
     )
     whole = join_keyed(rows, per_doc, "inner")
     cut = F.transform("cuts", lambda c: F.struct(
-        c["start"].alias("start"), c["anchor"].alias("anchor"), c["h1"].alias("h1"), c["h2"].alias("h2"), c["n"].alias("n"),
+        c["start"].alias("start"), c["middle"].alias("middle"), c["anchor"].alias("anchor"), c["h1"].alias("h1"), c["h2"].alias("h2"), c["n"].alias("n"),
         c["crowd"].alias("crowd"),
         F.substring("raw", (c["start"] + 1).cast("int"), (c["stop"] - c["start"]).cast("int")).alias("bytes"),
     ))
@@ -180,6 +183,81 @@ def _by_suffix(pieces: DataFrame, width: int) -> DataFrame:
     )
 
 
+def _slices(pieces: DataFrame, width: int) -> DataFrame:
+    """Cut pieces at fixed distances from their anchors.
+
+    Windows that begin SLICE_STEPS or fewer bytes apart share all but the ends; the hash of
+    that core, with the slice's number, takes the place of the anchor. Equal windows are at
+    equal distances and so in slices of one core. Slices keep the piece they are of.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(6)]
+            kind = [batch.column(c).to_pylist() for c in ("bytes", "start", "middle")]
+            for i, (text, start, middle) in enumerate(zip(*kind)):
+                distance = middle - start  # of the first window
+                last = distance - (len(text) - width)  # of the last one
+                for k in range(last // SLICE_STEPS, distance // SLICE_STEPS + 1):
+                    begin = max(0, distance - (SLICE_STEPS * (k + 1) - 1))
+                    end = min(len(text) - width, distance - SLICE_STEPS * k)
+                    core = text[distance - SLICE_STEPS * k : distance - SLICE_STEPS * (k + 1) + 1 + width]
+                    whole = text[begin : end + width]
+                    digest = hashlib.blake2b(core, digest_size=8, salt=k.to_bytes(4, "big")).digest()
+                    own = hashlib.blake2b(whole, digest_size=16).digest()
+                    numbers = [int.from_bytes(h, "big", signed=True) for h in (digest, own[:8], own[8:])]
+                    for column, value in zip(columns, [i, begin, *numbers, whole]):
+                        column.append(value)
+            rows = pa.array(columns[0], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).take(rows) for c in ("doc_id", "text_key", "start", "h1", "h2")),
+                    *(pa.array(c, pa.int64()) for c in columns[1:5]), pa.array(columns[5], pa.binary()),
+                ],
+                names=["doc_id", "text_key", "piece_start", "p1", "p2", "skip", "anchor", "h1", "h2", "bytes"],
+            )
+
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    names = "piece_start long, p1 long, p2 long, skip long, anchor long, h1 long, h2 long, bytes binary"
+    rows = pieces.select("doc_id", "text_key", "start", "middle", "h1", "h2", "bytes")
+    return rows.mapInArrow(cut, f"doc_id {kind}, text_key long, {names}").withColumn("start", F.col("piece_start") + F.col("skip"))
+
+
+def _by_slice(pieces: DataFrame, width: int) -> DataFrame:
+    """The same for crowded anchors, slice by slice; equal slices are settled by their hashes.
+
+    Slices that crowd one core again are settled by ``_by_window``.
+    """
+    slices = stored(_slices(pieces, width), "slices")
+    place = F.struct("doc_id", "text_key", "start")
+    alike = slices.groupBy("anchor", "h1", "h2").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "start", "bytes")).alias("first")
+    )
+    alike = stored(alike.select("anchor", "h1", "h2", "n", "first.*"), "slice-classes")
+    crowds = stored(alike.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1"), "slice-crowds")
+    several = stored(alike.join(crowds, "anchor"), "slice-texts")
+    few = several.where(F.col("crowd") <= CROWD)
+    many = several.where(F.col("crowd") > CROWD)
+    found = stored(_by_suffix(few, width).unionByName(_by_window(many, width)), "slice-found")
+    at_first = place == F.struct(*[F.col(f"f_{c}") for c in ("doc_id", "text_key", "start")])
+    known = slices.withColumn("stop", F.octet_length("bytes")).drop("bytes").join(
+        alike.select("h1", "h2", "anchor", "n", *[F.col(c).alias(f"f_{c}") for c in ("doc_id", "text_key", "start")]),
+        ["anchor", "h1", "h2"],
+    ).withColumn("is_first", F.coalesce(at_first, F.lit(False)))
+    equal = known.where("n > 1")
+    spread = [F.col("skip").alias("from"), (F.col("skip") + F.col("stop")).alias("to")]
+    runs = equal.select("p1", "p2", *spread, F.lit(False).alias("earlier")).unionByName(
+        equal.where("not is_first").select("p1", "p2", *spread, F.lit(True).alias("earlier"))
+    )
+    other = known.join(found, ["h1", "h2"]).where((F.col("earlier") & F.col("is_first")) | (~F.col("earlier") & (F.col("n") == 1)))
+    runs = runs.unionByName(other.select(
+        "p1", "p2", (F.col("skip") + F.col("from")).alias("from"), (F.col("skip") + F.col("to")).alias("to"), "earlier"
+    ))
+    # every window of a piece holds its anchor, so those found cover one run
+    return runs.groupBy(F.col("p1").alias("h1"), F.col("p2").alias("h2"), "earlier").agg(
+        F.min("from").alias("from"), F.max("to").alias("to")
+    ).select("h1", "h2", "from", "to", "earlier")
+
+
 def _by_window(pieces: DataFrame, width: int) -> DataFrame:
     """The same for crowded anchors: each window is a row of its own and equal ones combine.
 
@@ -221,14 +299,14 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, keep: str = "first") ->
 
     Pieces that occur once by anchor are settled by counts. Equal pieces are settled by their
     two hashes. Of the others one per class goes, with its bytes, to the suffix order of its
-    anchor; an anchor of more than CROWD different pieces is settled window by window.
+    anchor; an anchor of more than CROWD different pieces is cut finer, to slices and windows.
     """
     pieces = stored(_pieces(docs, width), "pieces")
     shared = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor")
     # stored on its own: a join of two plain exchanges can split a hot anchor
     shared = stored(shared, "shared-anchors")
     pieces = stored(pieces.join(shared, "anchor", "left_semi"), "shared-pieces")
-    place = F.struct("doc_id", "text_key", "start", "stop")
+    place = F.struct("doc_id", "text_key", "start", "stop", "middle")
     classes = pieces.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     classes = stored(classes, "classes")
     crowds = stored(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")), "crowds")
@@ -237,7 +315,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, keep: str = "first") ->
     )
     several = classes.where("crowd > 1")
     texts = stored(_texts_of(several, docs), "piece-texts")
-    found = _by_suffix(texts.where(F.col("crowd") <= CROWD), width).unionByName(_by_window(texts.where(F.col("crowd") > CROWD), width))
+    found = _by_suffix(texts.where(F.col("crowd") <= CROWD), width).unionByName(_by_slice(texts.where(F.col("crowd") > CROWD), width))
     found = stored(found, "found")
     own = ["doc_id", "text_key"]
     members = pieces.select("doc_id", "text_key", "start", "stop", "h1", "h2")
