@@ -34,43 +34,49 @@ class ChunkedCounter:
         """Whether normalising keeps a run of spaces between words as it is."""
         return self.model.decode(self.model.encode("a  b c")) == "a  b c"
 
-    def _cuts(self, text: str, start: int, end: int) -> dict[int, int]:
-        """The proven cuts of an encoding of ``text[start:end]``: place, tokens before it."""
-        part = text[start:end]
-        encoded = self.model.encode(part, out_type="immutable_proto").pieces
-        found = {
-            start + p.begin: i
-            for i, p in enumerate(encoded)
-            if p.begin and part[p.begin] == " " and part[p.begin - 1].isalnum()
-        }
-        return found | {start + len(part): len(encoded)}
+    @staticmethod
+    def _is_cut(raw: bytes, at: int) -> bool:
+        return at > 0 and raw[at : at + 1] == b" " and raw[at - 1 : at].isalnum()
+
+    def _cuts(self, raw: bytes, start: int, end: int) -> dict[int, int]:
+        """The proven cuts of an encoding of ``raw[start:end]``: place, tokens before it."""
+        part = raw[start:end]
+        encoded = self.model.encode(part.decode("utf-8"), return_type="proto").pieces
+        found = {start + p.begin: i for i, p in enumerate(encoded) if self._is_cut(part, p.begin)}
+        return found | {end: len(encoded)}
 
     def count_long(self, text: str) -> int:
-        total, start, here = 0, 0, None
-        end = min(len(text), self.chunk)
-        here = self._cuts(text, start, end)
+        raw = text.encode("utf-8")
+
+        def whole(at: int) -> int:
+            """The next place, from ``at`` on, where a character begins."""
+            while at < len(raw) and raw[at] & 0xC0 == 0x80:
+                at += 1
+            return min(at, len(raw))
+
+        total, start, end = 0, 0, whole(self.chunk)
+        here = self._cuts(raw, start, end)
         done = 0  # tokens of the present chunk that were counted with the one before
-        while end < len(text):
+        while end < len(raw):
             overlap, splice = self.overlap, None
             while splice is None:
-                begin = max(start + 1, end - overlap)
-                stop = min(len(text), begin + overlap + self.chunk)
                 # a chunk begins at a cut as well: its first token is then no half of one
-                while begin > start + 1 and not (text[begin] == " " and text[begin - 1].isalnum()):
+                begin = end - overlap
+                while begin > start and not self._is_cut(raw, begin):
                     begin -= 1
-                if begin <= start + 1:
+                if begin <= start:
                     break
-                nxt = self._cuts(text, begin, stop)
-                both = [at for at in here if at in nxt and begin < at < end]
-                splice = max(both, default=None)
+                stop = whole(end + self.chunk)
+                after = self._cuts(raw, begin, stop)
+                splice = max((at for at in here if begin < at < end and at in after), default=None)
                 overlap *= 2
-            if splice is None:  # no cut anywhere: the chunk grows
-                end = min(len(text), end + (end - start))
-                here = self._cuts(text, start, end)
+            if splice is None:  # no common cut anywhere: the chunk itself grows
+                end = whole(end + (end - start))
+                here = self._cuts(raw, start, end)
                 continue
             total += here[splice] - done
-            done, here, start, end = nxt[splice], nxt, begin, stop
-        return total + here[len(text)] - done
+            done, here, start, end = after[splice], after, begin, stop
+        return total + here[len(raw)] - done
 
     def count(self, texts: list[str]) -> list[int]:
         short = [t for t in texts if not self._is_long(t)]
