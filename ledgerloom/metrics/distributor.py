@@ -60,9 +60,14 @@ DPO = "try_divide(pay_weight, paid)"
 DIO = "try_divide(try_divide(stock, stock_days), try_divide(cogs, cogs_days))"
 
 
-def latest_snapshot(wh: Any) -> DataFrame:
-    """Stock on the last snapshot day. The day is a scalar subquery, so it prunes the scan."""
+def latest_snapshot(wh: Any, period: Period | None = None) -> DataFrame:
+    """Stock on the last snapshot day, of the period if one is given.
+
+    The day is a scalar subquery, so it prunes the scan.
+    """
     snapshots = wh["inv_balance_snapshot"]
+    if period is not None:
+        snapshots = snapshots.where(period.on(F.col("snapshot_date")))
     return snapshots.where(F.col("snapshot_date") == snapshots.agg(F.max("snapshot_date")).scalar())
 
 
@@ -82,7 +87,7 @@ def slow_stock_value(
     """Latest stock value of the items in the lowest quantile of units shipped."""
     leg = stock(
         {"value": total("value_on_hand")},
-        source=lambda w: latest_snapshot(w).join(slow_items(w, quantile), "item_key", "left_semi"),
+        as_of=lambda w, period: latest_snapshot(w, period).join(slow_items(w, quantile), "item_key", "left_semi"),
     )
     metric = replace(
         METRICS["slow_moving_inventory_value"], custom=None, legs=(leg,), values={"slow_moving_inventory_value": "value"}
@@ -317,7 +322,7 @@ _ALL = [
     _metric(
         "inventory_value_on_hand", "Inventory", "none", "Operations", "currency", "Stock value on the last snapshot day.",
         (_SITE, _CATEGORY, _COMPANY),
-        legs=(stock({"value": total("value_on_hand")}, source=latest_snapshot),), values={"inventory_value_on_hand": "value"},
+        legs=(stock({"value": total("value_on_hand")}, as_of=latest_snapshot),), values={"inventory_value_on_hand": "value"},
         grain="company", synonyms=("stock value",), questions=("What is our stock worth?",),
         formula="SUM(value_on_hand) FROM inv_balance_snapshot ON the last day",
     ),

@@ -75,6 +75,8 @@ class Leg:
     local: Mapping[str, str] = field(default_factory=dict)
     # a frame to use instead of the stored fact, with the fact's keys
     source: Callable[[Mapping[str, DataFrame]], DataFrame] | None = None
+    # the same for a fact of states: what stood at the end of the period
+    as_of: Callable[[Mapping[str, DataFrame], Period | None], DataFrame] | None = None
 
 
 def output_names(by: Sequence[str]) -> list[str]:
@@ -97,7 +99,10 @@ def aggregate_leg(
 ) -> DataFrame:
     """The leg's parts at the grain ``by`` plus the ``extra`` columns of the fact."""
     where, extra = dict(where or {}), dict(extra or {})
-    frame = leg.source(wh) if leg.source else wh[leg.fact]
+    if leg.as_of:
+        frame = leg.as_of(wh, period)
+    else:
+        frame = leg.source(wh) if leg.source else wh[leg.fact]
     if leg.keep:
         frame = frame.where(F.expr(leg.keep))
     if period is not None:

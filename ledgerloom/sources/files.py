@@ -246,9 +246,15 @@ def _plan_tables(df: DataFrame) -> set[str]:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared folder; a local one where none is named."""
+    """A new folder under the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    A session on one machine may do without; elsewhere executors could not read each other's
+    files, so a missing name is an error.
+    """
     root: Any = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="ledgerloom-")

@@ -30,7 +30,7 @@ FURNITURE_RANGES = {
 
 DISTRIBUTOR_RANGES = {
     "total_revenue": (1e5, 1e15), "gross_margin_pct": (0, 100), "avg_order_value": (100, 1e6), "order_count": (1, 1e12),
-    "avg_order_to_ship_days": (0, 30), "return_rate_pct": (0, 10), "dso_days": (0, 120), "ar_open_balance": (0, 1e15),
+    "avg_order_to_ship_days": (0, 30), "return_rate_pct": (0, 1000), "dso_days": (0, 120), "ar_open_balance": (0, 1e15),
     "overdue_invoice_pct": (0, 100), "avg_days_to_pay_vs_terms": (-30, 60), "collection_days_by_segment": (1, 10),
     "dpo_days": (0, 120), "supplier_on_time_delivery_pct": (0, 100), "avg_po_late_days_by_supplier": (1, 1e9),
     "open_payables": (0, 1e15), "spend_by_supplier": (1, 1e9), "dio_days": (0, 365), "inventory_value_on_hand": (0, 1e15),

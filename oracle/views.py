@@ -53,7 +53,7 @@ JOIN item_supplier m ON s.item_key = m.item_key JOIN dim_supplier sup ON m.suppl
 VIEWS["o2c_return_line"] = """
 SELECT l_orderkey AS so_line_key, l_partkey AS item_key, l_quantity AS qty_returned, l_extendedprice AS credit_amount,
   CASE l_linenumber % 4 WHEN 0 THEN 'Damaged' WHEN 1 THEN 'Wrong Item' WHEN 2 THEN 'Overordered' ELSE 'Quality' END AS reason
-FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 33 = 0"""
+FROM lineitem WHERE l_returnflag = 'R'"""
 VIEWS["ar_invoice"] = """
 SELECT f.so_line_key AS invoice_key, f.ship_date AS invoice_date, f.ship_date + CAST(c.credit_days AS INT) AS due_date,
   f.customer_key, f.subsidiary_key, s.ext_amount AS invoice_amount, s.ext_cost AS invoice_cost,
@@ -85,7 +85,7 @@ SELECT k.snapshot_date, i.item_key, 1 + i.item_key % 4 AS warehouse_key, 1 AS su
   (i.item_key * 7 + k.m * 13) % 29 * i.unit_cost AS value_on_hand, (i.item_key * 7 + k.m * 13) % 29 = 0 AS is_stockout
 FROM dim_item i CROSS JOIN (
   SELECT MAX(CAST(o_orderdate AS DATE)) AS snapshot_date, YEAR(o_orderdate) * 12 + MONTH(o_orderdate) AS m
-  FROM orders WHERE YEAR(o_orderdate) >= 2000 GROUP BY YEAR(o_orderdate) * 12 + MONTH(o_orderdate)) k"""
+  FROM orders GROUP BY YEAR(o_orderdate) * 12 + MONTH(o_orderdate)) k"""
 VIEWS["inv_transaction"] = """
 SELECT po_date AS txn_date, item_key, supplier_key, subsidiary_key, 'Receipt' AS txn_type, qty_ordered AS qty_delta, ext_cost AS value_delta
 FROM p2p_purchase_order_line
