@@ -80,6 +80,8 @@ def queries() -> dict[str, Query]:
         "dio_by_category": _sliced("dio_days", by=["dim_item.category"]),
         "dpo_by_payment_terms": _sliced("dpo_days", by=["dim_supplier.payment_terms"]),
         "open_receivables_by_terms": _sliced("ar_open_balance", by=["dim_customer.credit_terms"]),
+        "stock_value_as_of_quarter": _sliced("inventory_value_on_hand", period=Period.quarter(2000, 3)),
+        "slow_stock_as_of_quarter": _sliced("slow_moving_inventory_value", period=Period.quarter(2000, 3)),
         "slow_stock_by_category": _sliced("slow_moving_inventory_value", by=["dim_item.category"]),
         "cash_cycle_by_year": _sliced("cash_conversion_cycle_days", by=["dim_date.year_num"]),
         "lateness_impact_customer_date": _sliced("supplier_lateness_cash_impact", method="customer_date"),
