@@ -156,7 +156,7 @@ def _by_suffix(pieces: DataFrame, width: int) -> DataFrame:
             for flag, mark in ((elsewhere, False), (earlier, True)):
                 at = np.flatnonzero(flag)
                 first = np.flatnonzero(np.diff(piece[at], prepend=-1))
-                last = np.append(first[1:], len(at)) - 1
+                last = np.append(first, len(at))[1:] - 1
                 for a, b in zip(at[first], at[last]):
                     out["h1"].append(group[piece[a]][1])
                     out["h2"].append(group[piece[a]][2])

@@ -249,3 +249,10 @@ def test_short_benchmark_items(spark):
     items = spark.createDataFrame([(7, "The red-fox"), (8, "fox")], "item_id long, text string")
     found = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontamination.decontaminate(docs, items).collect()}
     assert found == {1: (6, 3, 2), 2: (2, 0, 0), 3: (5, 4, 2)}
+
+
+def test_shared_passages_too_short_to_remove(spark):
+    blob, _ = words_in(11)
+    shared = blob(20)[:150]
+    docs = spark.createDataFrame([(i, blob(90) + shared + blob(90)) for i in range(12)], "doc_id long, text string")
+    assert all(r.spans == [] for r in substrings.remove_repeats(docs, keep="none").collect())
