@@ -15,6 +15,7 @@ LABELLED = 20_000  # labelled rows of each domain that the classifier learns fro
 EVIDENCE = 100.0  # a text counts as at most so many words
 MOST_DOMAINS = 64
 ROUNDS = 60
+CELL_DIGITS = 3  # documents are fitted together when their posteriors agree to so many digits
 TOLERANCE = 1e-4
 
 
@@ -123,25 +124,34 @@ def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     return rows.withColumn("__p", model.posteriors(F.col("__bins"))).withColumn("__p", softmax(F.col("__p")))
 
 
-def fit_mix(
-    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str | None = None,
-    protect: str | None = None, most: float = 4.0,
-) -> Mix:
+def cells(rows: DataFrame, k: int) -> DataFrame:
+    """Documents of nearly equal posteriors as one row: their tokens and their mean posteriors.
+
+    The means are weighted by tokens, so the domain totals of all rows stay what they are. A
+    cell is a sum over any number of documents; a common one combines before it is shuffled.
+    """
+    near = F.transform("p", lambda x: F.round(x, CELL_DIGITS))
+    sums = [F.sum(F.col("n") * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(k)]
+    grouped = rows.groupBy(near.alias("near")).agg(F.sum("n").alias("n"), *sums).where("n > 0")
+    return grouped.select("n", F.array(*[F.col(f"s{i}") / F.col("n") for i in range(k)]).alias("p"))
+
+
+def fit_mix(rows: DataFrame, model: DomainModel, weights: dict[str, float], anchor: str | None = None,
+            protect: str | None = None, most: float = 4.0) -> Mix:
     """Rates whose expected domain token totals come nearest to the target weights.
 
-    The targets are ``weights`` times all tokens, or times what makes the target of the domain
-    ``anchor`` the tokens it has. Projected gradient steps start from one copy of each document
-    and minimise the squared residuals of the totals, each divided by its domain's tokens; with
-    that weighting a step of 1 never overshoots. A step needs one number per domain from all
-    documents, so an iteration is one aggregation of a narrow stored table. Rates stay between
+    ``rows`` holds tokens ``n`` and posteriors ``p`` of each document. The targets are
+    ``weights`` times all tokens, or times what makes the target of the domain ``anchor`` the
+    tokens it has. Projected gradient steps start from one copy of each document and minimise
+    the squared residuals of the totals, each divided by its domain's tokens; with that
+    weighting a step of 1 never overshoots. A step needs one number per domain from all
+    documents, so an iteration is one aggregation, of the stored ``cells``. Rates stay between
     0 and ``most``; documents whose likeliest domain is ``protect`` stay at 1 or more. Domains
     without a weight get target 0.
     """
-    model = fit_domains(docs, labelled)
-    rows = with_posteriors(docs.select("text"), model).select(F.size("__bins").cast("double").alias("n"), F.col("__p").alias("p"))
-    rows = stored(rows, "posteriors")
     k = len(model.domains)
-    have = rows.agg(*[F.sum(F.col("n") * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(k)]).first()
+    fitted = stored(cells(rows, k), "cells")
+    have = fitted.agg(*[F.sum(F.col("n") * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(k)]).first()
     have = [float(x or 0.0) for x in have]
     scale = sum(weights.get(d, 0.0) for d in model.domains) or 1.0
     share = [weights.get(d, 0.0) / scale for d in model.domains]
@@ -157,7 +167,7 @@ def fit_mix(
         if max((abs(r) for r in residual), default=0.0) < TOLERANCE:
             break
         steps.append([round(r, 9) for r in residual])
-        rated = rows.select("n", "p", _rate(F.col("p"), steps, least, most).alias("r"))
+        rated = fitted.select("n", "p", _rate(F.col("p"), steps, least, most).alias("r"))
         found = rated.agg(*[F.sum(F.col("n") * F.col("r") * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(k)]).first()
         before, totals = totals, [float(x or 0.0) for x in found]
         if max(abs(a - b) / max(h, 1.0) for a, b, h in zip(totals, before, have)) < TOLERANCE / 10:
@@ -175,12 +185,17 @@ def lower_bound(domains: list[str], protect: str | None, posterior: Column) -> C
     return F.when(safe, 1.0).otherwise(0.0)
 
 
-def with_copies(docs: DataFrame, mix: Mix) -> DataFrame:
-    """Add ``__rate`` and ``__copies``: the rate rounded down, or up by a draw from id and text."""
-    rows = with_posteriors(docs, mix.model).withColumn("__rate", F.round(mix.rate(F.col("__p")), 6))
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_hash()), F.lit(1 << 24)) / float(1 << 24)
+def with_copies(rows: DataFrame, mix: Mix, draw: Column) -> DataFrame:
+    """Add ``__rate`` and ``__copies``: the rate rounded down, or up by the document's draw."""
+    rated = rows.withColumn("__rate", F.round(mix.rate(F.col("__p")), 6))
     whole = F.floor("__rate")
-    return rows.withColumn("__copies", (whole + F.when(draw < F.col("__rate") - whole, 1).otherwise(0)).cast("long"))
+    return rated.withColumn("__copies", (whole + F.when(draw < F.col("__rate") - whole, 1).otherwise(0)).cast("long"))
+
+
+def draw_of() -> Column:
+    """A number in [0, 1) that follows from id and text."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return F.pmod(F.xxhash64(key, text_hash()), F.lit(1 << 24)) / float(1 << 24)
 
 
 def mix_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], **options) -> DataFrame:
@@ -189,16 +204,22 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *
     A null or empty text has no tokens: its posterior is the prior, and its rate follows from
     that. Repeated rows have equal rates and draws. An empty table gives no rows.
     """
-    mix = fit_mix(docs, labelled, weights, **options)
-    rows = with_copies(docs.select("doc_id", "text"), mix)
+    model = fit_domains(docs, labelled)
+    rows = with_posteriors(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.size("__bins").cast("long").alias("n"), F.col("__p").alias("p"), draw_of().alias("draw")
+    )
+    rows = stored(rows, "posteriors")
+    mix = fit_mix(rows, model, weights, **options)
     names = [F.get("__p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(mix.model.domains)]
-    return rows.select(
-        "doc_id", F.size("__bins").cast("long").alias("n_tokens"), *names,
-        F.col("__rate").alias("rate"), F.col("__copies").alias("copies"),
+    return with_copies(rows.withColumnRenamed("p", "__p"), mix, F.col("draw")).select(
+        "doc_id", F.col("n").alias("n_tokens"), *names, F.col("__rate").alias("rate"), F.col("__copies").alias("copies")
     )
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], **options) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say, with all their columns."""
-    rows = with_copies(docs, fit_mix(docs, labelled, weights, **options))
+    model = fit_domains(docs, labelled)
+    rows = with_posteriors(docs, model)
+    mix = fit_mix(rows.select(F.size("__bins").alias("n"), F.col("__p").alias("p")), model, weights, **options)
+    rows = with_copies(rows, mix, draw_of())
     return rows.withColumn("__i", F.explode(positions(F.col("__copies")))).select(*docs.columns)
