@@ -6,7 +6,7 @@ import string
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # rows of two or three numbers that a side may have to be broadcast (about 50 MB)
@@ -121,3 +121,15 @@ def positions(n: Column) -> Column:
 def is_held_out(modulus: int, remainder: int) -> Column:
     """By the contract's rule: crc32 of the id as text. A null id counts as the text ``null``."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % modulus == remainder
+
+
+def bounded_sample(rows: DataFrame, group: str, key: Column, most: int, classes: int) -> DataFrame:
+    """At most ``most`` rows of each group, drawn by the hash of ``key``; repeatable.
+
+    Each of ``classes`` hash classes gives an equal part at most, so a group of any size is
+    ordered in as many tasks, and rows of one key fill no more than their class.
+    """
+    order = Window.partitionBy(group, "__class").orderBy("__order")
+    drawn = rows.withColumn("__order", F.xxhash64(key, F.lit(1))).withColumn("__class", F.pmod("__order", F.lit(classes)))
+    chosen = drawn.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= most // classes)
+    return chosen.drop("__order", "__class", "__at")

@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import keyed, only, stored, text_hash
+from ledgerloom.llm.common import bounded_sample, keyed, only, stored, text_hash
 from ledgerloom.llm.numeric import as_bytes, in_batches
 
 DIMENSIONS = 4096
 SAMPLE = 1000  # labelled documents of each language that are learned from, at most
+SAMPLE_CLASSES = 8
 CENTROIDS = 4
 ITERATIONS = 8
 # a text is rejected below this part of what all but REJECT_SHARE of the sample of its length reach
@@ -100,14 +101,13 @@ def _clustered(vectors: np.ndarray, k: int) -> np.ndarray:
 def fit_languages(docs: DataFrame, usable: Column, sample: int = SAMPLE, k: int = CENTROIDS) -> Centroids:
     """Learn centroids from the rows with a language that ``usable`` admits.
 
-    Of each language at most ``sample`` documents are used, those with the least text hashes: a
-    bounded, repeatable sample. Documents without a letter teach nothing. The driver gets one
+    Of each language at most ``sample`` documents are used, drawn by text hashes: a bounded,
+    repeatable sample. Documents without a letter teach nothing. The driver gets one
     vector of DIMENSIONS for each partition (document frequencies) and for each centroid.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     narrow = rows.select("doc_id", "lang", text_hash().alias("text_key"))
-    order = Window.partitionBy("lang").orderBy("text_key", "doc_id")
-    chosen = narrow.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample)
+    chosen = bounded_sample(narrow, "lang", F.col("text_key"), sample, SAMPLE_CLASSES)
     chosen = stored(chosen.select("doc_id", "text_key"), "language-sample")
     texts = only(rows.select("doc_id", "text", "lang", text_hash().alias("text_key")), chosen).select("lang", "text")
 

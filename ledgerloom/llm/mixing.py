@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import alnum_words, positions, stored, text_hash
+from ledgerloom.llm.common import alnum_words, bounded_sample, positions, stored, text_hash
 
 BINS = 4096
 LABELLED = 20_000  # labelled rows of each domain that the classifier learns from, at most
+SAMPLE_CLASSES = 40
 EVIDENCE = 100.0  # a text counts as at most so many words
 MOST_DOMAINS = 64
 ROUNDS = 60
@@ -61,13 +62,12 @@ def softmax(scores: Column) -> Column:
 def fit_domains(docs: DataFrame, labelled: DataFrame, most: int = LABELLED) -> DomainModel:
     """Learn the domains of the labelled table.
 
-    At most ``most`` labelled rows of a domain are used, those with the least hashed ids: a
-    bounded, repeatable sample. Their number bounds what is broadcast. Labels of unknown
+    At most ``most`` labelled rows of a domain are used, drawn by hashed ids: a bounded,
+    repeatable sample. Their number bounds what is broadcast. Labels of unknown
     documents have no effect; a document labelled twice counts twice.
     """
-    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = labelled.where(F.col("doc_id").isNotNull()).withColumn("at", F.row_number().over(order))
-    sample = stored(sample.where(F.col("at") <= most).select("doc_id", "domain"), "labelled")
+    known = labelled.where(F.col("doc_id").isNotNull()).select("doc_id", "domain")
+    sample = stored(bounded_sample(known, "domain", F.col("doc_id"), most, SAMPLE_CLASSES), "labelled")
     sizes = sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
     domains = sorted(r.domain for r in sizes.select("domain").take(MOST_DOMAINS + 1))
     if len(domains) > MOST_DOMAINS:
