@@ -18,6 +18,7 @@ GRAM = 64  # bytes of an anchor
 CROWD = 256  # different pieces of one anchor that are put in suffix order together
 SLICE_STEPS = 48  # windows to a slice
 BATCH_WINDOWS = 40_000
+HOT_PART = 1000  # a class of more than one HOT_PARTth of all pieces is joined by broadcast
 
 
 def anchored_pieces(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -319,11 +320,18 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, keep: str = "first") ->
     found = stored(found, "found")
     own = ["doc_id", "text_key"]
     members = pieces.select("doc_id", "text_key", "start", "stop", "h1", "h2")
+    # fewer than HOT_PART classes can be so large; their members are not shuffled by class
+    limit = pieces.count() // HOT_PART + 1
+    first = [F.col(c).alias(f"f_{c}") for c in ("doc_id", "text_key", "start")]
+    named = classes.select("h1", "h2", "n", "crowd", *first)
+    hot = stored(named.where(F.col("n") > limit), "hot-classes")
+    large = members.join(F.broadcast(hot), ["h1", "h2"])
+    small = members.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti")
+    known = small.join(named.where(F.col("n") <= limit), ["h1", "h2"]).unionByName(large)
     if keep == "none":
-        full = members.join(classes.where("n > 1").select("h1", "h2"), ["h1", "h2"], "left_semi")
-        part = members.join(classes.where("n = 1 and crowd > 1").select("h1", "h2").join(found.where("not earlier"), ["h1", "h2"]), ["h1", "h2"])
+        full = known.where("n > 1")
+        part = known.where("n = 1 and crowd > 1").join(found.where("not earlier"), ["h1", "h2"])
     else:
-        known = members.join(classes.select("h1", "h2", "n", *[F.col(c).alias(f"f_{c}") for c in ("doc_id", "text_key", "start")]), ["h1", "h2"])
         is_first = F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("text_key") == F.col("f_text_key")) & (F.col("start") == F.col("f_start"))
         full = known.where(~is_first)
         part = known.where(is_first).join(found.where("earlier"), ["h1", "h2"])
