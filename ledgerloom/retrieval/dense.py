@@ -26,17 +26,21 @@ def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, block: int =
     """``query_id, rank, id, score``.
 
     ``corpus`` is ``(id, tenant, vector)``, ``queries`` ``(query_id, tenant, vector)``; a
-    query sees its own tenant only. Scores are compared at six decimals, then by id.
+    query sees its own tenant only. Ids are of any type that has an order. A document or query
+    without a vector is not ranked. Scores are compared at six decimals, then by id.
     """
+    corpus = corpus.where(F.col("vector").isNotNull())
+    queries = queries.where(F.col("vector").isNotNull())
+    id_type = corpus.schema["id"].dataType.simpleString()
     n_blocks = max(1, -(-queries.count() // block))
     blocks = []
     for i in range(n_blocks):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i) if n_blocks > 1 else queries
         held = part.select("query_id", "tenant", "vector").collect()
         if held:
-            blocks.append(_score_block(corpus, held, k, queries.schema["query_id"].dataType.simpleString()))
+            blocks.append(_score_block(corpus, held, k, queries.schema["query_id"].dataType.simpleString(), id_type))
     if not blocks:
-        return queries.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("score")).limit(0)
+        return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(id_type).alias("id"), F.lit(0.0).alias("score")).limit(0)
     candidates = reduce(DataFrame.unionByName, blocks)
     return top_n_per_group(candidates, ["query_id"], k, F.col("score").desc(), F.col("id")).select("query_id", "rank", "id", "score")
 
@@ -47,7 +51,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 1e-9)
 
 
-def _score_block(corpus: DataFrame, held: list, k: int, query_type: str) -> DataFrame:
+def _score_block(corpus: DataFrame, held: list, k: int, query_type: str, id_type: str) -> DataFrame:
     query_ids = [r["query_id"] for r in held]
     tenants = np.array([r["tenant"] for r in held], dtype=object)
     wanted = _unit(np.array([r["vector"] for r in held], dtype=np.float64))
@@ -60,15 +64,16 @@ def _score_block(corpus: DataFrame, held: list, k: int, query_type: str) -> Data
         else:
             near = np.arange(len(scores))
         near = near[np.isfinite(scores[near])]
-        return near[np.lexsort((ids[near], -scores[near]))][:k]
+        near = near[np.argsort(ids[near], kind="stable")]
+        return near[np.argsort(-scores[near], kind="stable")][:k]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in query_ids]
+        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=object)) for _ in query_ids]
         for batch in batches:
             if batch.empty:
                 continue
             vectors = _unit(np.array(batch["vector"].tolist(), dtype=np.float64))
-            ids = batch["id"].to_numpy()
+            ids = batch["id"].to_numpy(dtype=object)
             owners = batch["tenant"].to_numpy(dtype=object)
             scores = np.round(vectors @ wanted.T, 6)
             for q in range(len(query_ids)):
@@ -81,7 +86,7 @@ def _score_block(corpus: DataFrame, held: list, k: int, query_type: str) -> Data
         if rows:
             yield pd.DataFrame(rows, columns=["query_id", "id", "score"])
 
-    return corpus.select("id", "tenant", "vector").mapInPandas(score, f"query_id {query_type}, id bigint, score double")
+    return corpus.select("id", "tenant", "vector").mapInPandas(score, f"query_id {query_type}, id {id_type}, score double")
 
 
 def pair_cosine(pairs: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:

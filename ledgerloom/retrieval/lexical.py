@@ -18,7 +18,11 @@ B = 0.75
 
 def corpus_statistics(docs: DataFrame) -> DataFrame:
     """``tenant, n_docs, avgdl``."""
-    return docs.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(token_count(F.col("text"))).alias("avgdl"))
+    # a grouping key that is a literal would be folded away, and with it the key of later joins
+    found = docs.groupBy("tenant").agg(
+        F.max("tenant").alias("owner"), F.count(F.lit(1)).alias("n_docs"), F.avg(token_count(F.col("text"))).alias("avgdl")
+    )
+    return found.select(F.col("owner").alias("tenant"), "n_docs", "avgdl")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -44,7 +48,8 @@ def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
 
 def term_weights(found: DataFrame, statistics: DataFrame) -> DataFrame:
     """``tenant, term, df, idf, avgdl``."""
-    frequency = found.groupBy("tenant", "term").agg(F.count(F.lit(1)).alias("df"))
+    frequency = found.groupBy("tenant", "term").agg(F.max("tenant").alias("owner"), F.count(F.lit(1)).alias("df"))
+    frequency = frequency.select(F.col("owner").alias("tenant"), "term", "df")
     n, df = F.col("n_docs"), F.col("df")
     return frequency.join(statistics, "tenant").select(
         "tenant", "term", "df", F.log((n - df + 0.5) / (df + 0.5) + 1.0).alias("idf"), "avgdl"

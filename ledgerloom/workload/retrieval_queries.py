@@ -1,8 +1,8 @@
 """Lexical, dense and fused retrieval, and the scoring of retrieval and answers.
 
-Lexical queries are the ``benchmark`` texts over all ``documents`` of their language; dense
-queries are the mean vector of each label over all ``embeddings``; fused queries are all
-``benchmark`` texts with such a vector each.
+Lexical queries are the ``benchmark`` texts, each asked of the ``documents`` of every language;
+dense queries are the mean vector of each label over all ``embeddings``; fused queries are all
+``benchmark`` texts with such a vector each, over all ``documents`` with or without a vector.
 """
 
 from __future__ import annotations
@@ -29,7 +29,11 @@ def documents(t: Any) -> DataFrame:
 
 
 def text_queries(t: Any) -> DataFrame:
-    return t("benchmark").select(F.col("item_id").alias("query_id"), F.lit("en").alias("tenant"), "text")
+    """Every benchmark text, once for each language of the documents."""
+    languages = t("documents").agg(F.array_sort(F.collect_set("lang")).alias("languages"))
+    asked = t("benchmark").select("item_id", "text", languages.scalar().alias("languages"))
+    spread = asked.select("item_id", "text", F.explode("languages").alias("tenant"))
+    return spread.select(F.concat_ws(":", "tenant", F.col("item_id").cast("string")).alias("query_id"), "tenant", "text")
 
 
 def vectors(t: Any) -> DataFrame:
@@ -44,8 +48,9 @@ def label_queries(t: Any) -> DataFrame:
 
 
 def both_documents(t: Any) -> DataFrame:
-    """Documents that have a vector, as one tenant."""
-    return vectors(t).join(documents(t).select("id", "text", "source"), "id")
+    """All documents as one tenant; one without a vector is found by its text alone."""
+    texts = documents(t).select("id", F.lit("all").alias("tenant"), "text", "source")
+    return texts.join(vectors(t).drop("tenant"), "id", "left")
 
 
 def both_queries(t: Any) -> DataFrame:
@@ -69,7 +74,7 @@ def lexical_statistics(spark: Any, t: Any) -> DataFrame:
 def vocabulary_weights(spark: Any, t: Any) -> DataFrame:
     docs = documents(t)
     vocabulary = query_terms(text_queries(t)).select("tenant", "term").distinct()
-    return term_weights(postings(docs, vocabulary), corpus_statistics(docs)).select("term", "df", "idf")
+    return term_weights(postings(docs, vocabulary), corpus_statistics(docs)).select("tenant", "term", "df", "idf")
 
 
 def all_rankers(t: Any) -> DataFrame:
@@ -92,13 +97,13 @@ def reranked(spark: Any, t: Any) -> DataFrame:
 
 
 def blank_and_known(spark: Any, t: Any) -> DataFrame:
-    """Each source's first English text as a query, next to a blank one that finds nothing."""
-    docs = documents(t).where("tenant = 'en'")
-    asked = t("documents").where("lang = 'en'").groupBy("source").agg(
+    """The first text of each language and source as a query, next to a blank one that finds nothing."""
+    docs = documents(t).where("tenant is not null")
+    asked = t("documents").where("lang is not null").groupBy("lang", "source").agg(
         F.min("doc_id").alias("query_id"), F.min_by("text", "doc_id").alias("text")
-    ).select("query_id", F.lit("en").alias("tenant"), "text")
-    blank = t("documents").agg((F.min("doc_id") - 1).alias("query_id")).select(
-        "query_id", F.lit("en").alias("tenant"), F.lit("  ").alias("text")
+    ).select("query_id", F.col("lang").alias("tenant"), "text")
+    blank = t("documents").agg((F.min("doc_id") - 1).alias("query_id"), F.min("lang").alias("tenant")).select(
+        "query_id", "tenant", F.lit("  ").alias("text")
     )
     every = asked.unionByName(blank)
     return r.confidence(every, r.retrieve(docs, every, 5, "bm25"))

@@ -8,54 +8,55 @@ WORDS = "regexp_extract_all(lower(text), '\\w+')"
 def bm25(docs: str, queries: str, k: int = 5) -> str:
     """Common table expressions that end in ``ranked(query_id, id, score, rank)``; docs (id, tenant, text)."""
     return f"""docs AS ({docs}), queries AS ({queries}),
-    dw AS (SELECT id, tenant, {WORDS} AS words FROM docs),
+    dw AS MATERIALIZED (SELECT id, tenant, {WORDS} AS words FROM docs),
     st AS (SELECT tenant, COUNT(*) AS n, AVG(LEN(words)) AS avgdl FROM dw GROUP BY 1),
     tk AS (SELECT id, tenant, LEN(words) AS dl, unnest(words) AS term FROM dw),
-    tf AS (SELECT tenant, term, id, dl, COUNT(*) AS tf FROM tk GROUP BY 1, 2, 3, 4),
-    dfs AS (SELECT tenant, term, COUNT(*) AS df FROM tf GROUP BY 1, 2),
+    tf AS MATERIALIZED (SELECT tenant, term, id, dl, COUNT(*) AS tf FROM tk GROUP BY 1, 2, 3, 4),
+    dfs AS MATERIALIZED (SELECT tenant, term, COUNT(*) AS df FROM tf GROUP BY 1, 2),
     qt AS (SELECT query_id, tenant, term, COUNT(*) AS repeats FROM (SELECT query_id, tenant, unnest({WORDS}) AS term FROM queries) GROUP BY 1, 2, 3),
-    sc AS (SELECT qt.query_id, tf.id, SUM(qt.repeats * LN((st.n - dfs.df + 0.5) / (dfs.df + 0.5) + 1) * (tf.tf * 2.5)
+    sc AS MATERIALIZED (SELECT qt.query_id, tf.id, SUM(qt.repeats * LN((st.n - dfs.df + 0.5) / (dfs.df + 0.5) + 1) * (tf.tf * 2.5)
         / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * tf.dl / st.avgdl))) AS score
       FROM qt JOIN tf ON qt.tenant = tf.tenant AND qt.term = tf.term JOIN dfs ON dfs.tenant = tf.tenant AND dfs.term = tf.term
       JOIN st ON st.tenant = tf.tenant GROUP BY 1, 2),
-    ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ROUND(score, 6) DESC, id) AS rank FROM sc) WHERE rank <= {k})"""
+    ranked AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ROUND(score, 6) DESC, id) AS rank FROM sc) WHERE rank <= {k})"""
 
 
 DOCS = "SELECT doc_id AS id, lang AS tenant, text FROM documents"
-ASKED = "SELECT item_id AS query_id, 'en' AS tenant, text FROM benchmark"
-BOTH_DOCS = "SELECT d.doc_id AS id, 'all' AS tenant, d.text FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id"
+ASKED = """SELECT l.lang || ':' || b.item_id AS query_id, l.lang AS tenant, b.text
+      FROM benchmark b, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) l"""
+BOTH_DOCS = "SELECT doc_id AS id, 'all' AS tenant, text FROM documents"
 BOTH_ASKED = "SELECT b.item_id AS query_id, 'all' AS tenant, b.text FROM benchmark b WHERE b.item_id % 10 IN (SELECT label FROM embeddings)"
-MEANS = """means AS (SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label, pos, AVG(x) AS x FROM (
+MEANS = """means AS MATERIALIZED (SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label, pos, AVG(x) AS x FROM (
       SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY 1)"""
 PAIRS = f"""{MEANS},
-    cs AS (SELECT m.label AS query_id, e.vec_id AS id, list_cosine_similarity(m.v, e.embedding::DOUBLE[]) AS score FROM means m, embeddings e)"""
+    cs AS MATERIALIZED (SELECT m.label AS query_id, e.vec_id AS id, list_cosine_similarity(m.v, e.embedding::DOUBLE[]) AS score FROM means m, embeddings e)"""
 
 
 ITEM_PAIRS = f"""{MEANS},
-    cs AS (SELECT b.item_id AS query_id, e.vec_id AS id, list_cosine_similarity(m.v, e.embedding::DOUBLE[]) AS score
+    cs AS MATERIALIZED (SELECT b.item_id AS query_id, e.vec_id AS id, list_cosine_similarity(m.v, e.embedding::DOUBLE[]) AS score
       FROM benchmark b JOIN means m ON m.label = b.item_id % 10, embeddings e)"""
 
 
 def dense(k: int, pairs: str = PAIRS, docs: str = "") -> str:
     limits = f" AND id IN (SELECT id FROM {docs})" if docs else ""
     return f"""{pairs},
-    near AS (SELECT * FROM (SELECT query_id, id, ROUND(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY ROUND(score, 6) DESC, id) AS rank
+    near AS MATERIALIZED (SELECT * FROM (SELECT query_id, id, ROUND(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY ROUND(score, 6) DESC, id) AS rank
       FROM cs WHERE TRUE{limits}) WHERE rank <= {k})"""
 
 
 def fused(k: int) -> str:
     return f"""{bm25(BOTH_DOCS, BOTH_ASKED, 10)}, {dense(10, ITEM_PAIRS, 'docs')},
-    fu AS (SELECT query_id, id, ROUND(COALESCE(SUM(1E0 / (60 + dr)), 0) + COALESCE(SUM(1E0 / (60 + lr)), 0), 12) AS fused, MAX(dr) AS dr, MAX(lr) AS lr FROM (
+    fu AS MATERIALIZED (SELECT query_id, id, ROUND(COALESCE(SUM(1E0 / (60 + dr)), 0) + COALESCE(SUM(1E0 / (60 + lr)), 0), 12) AS fused, MAX(dr) AS dr, MAX(lr) AS lr FROM (
       SELECT query_id, id, rank AS dr, NULL AS lr FROM near UNION ALL SELECT query_id, id, NULL, rank FROM ranked) GROUP BY 1, 2),
-    rrf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, dr NULLS LAST, lr NULLS LAST) AS rank FROM fu) WHERE rank <= {k})"""
+    rrf AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, dr NULLS LAST, lr NULLS LAST) AS rank FROM fu) WHERE rank <= {k})"""
 
 
 # the three rankers' results as results(ranker, query_id, rank, id, score)
 RESULTS = f"""{fused(5)},
-    results AS (
+    results AS MATERIALIZED (
       SELECT 'bm25' AS ranker, query_id, rank, id, ROUND(score / MAX(score) OVER (PARTITION BY query_id), 4) AS score FROM ranked WHERE rank <= 5
       UNION ALL SELECT 'dense', query_id, rank, id, ROUND(GREATEST(0, score), 4) FROM near WHERE rank <= 5
-      UNION ALL SELECT 'rrf', r.query_id, r.rank, r.id, ROUND(GREATEST(0, c.score), 4) FROM rrf r JOIN cs c ON r.query_id = c.query_id AND r.id = c.id)"""
+      UNION ALL SELECT 'rrf', r.query_id, r.rank, r.id, ROUND(GREATEST(0, COALESCE(c.score, 0)), 4) FROM rrf r LEFT JOIN cs c ON r.query_id = c.query_id AND r.id = c.id)"""
 
 
 def bands(results: str, keys: str) -> str:
@@ -98,12 +99,12 @@ ANSWERS = """f AS (SELECT c.c_nationkey::BIGINT AS n, c.c_mktsegment AS s, ROUND
 
 def sql() -> dict[str, str]:
     one_source = "SELECT doc_id AS id, lang AS tenant, text FROM documents WHERE source = 'src1'"
-    first_texts = """SELECT MIN(doc_id) AS query_id, 'en' AS tenant, arg_min(text, doc_id) AS text FROM documents WHERE lang = 'en' GROUP BY source"""
+    first_texts = "SELECT MIN(doc_id) AS query_id, lang AS tenant, arg_min(text, doc_id) AS text FROM documents WHERE lang IS NOT NULL GROUP BY lang, source"
     blank_keys = "SELECT 'bm25' AS ranker, query_id FROM queries UNION ALL SELECT 'bm25', MIN(doc_id) - 1 FROM documents"
     return {
         "retrieval_corpus_statistics": f"SELECT lang AS tenant, COUNT(*) AS n_docs, ROUND(AVG(LEN({WORDS})), 6) AS avgdl FROM documents GROUP BY 1",
-        "retrieval_vocabulary_weights": f"""WITH {bm25(DOCS, ASKED)} SELECT dfs.term, dfs.df, ROUND(LN((st.n - dfs.df + 0.5) / (dfs.df + 0.5) + 1), 6) AS idf
-          FROM dfs JOIN st ON dfs.tenant = st.tenant WHERE dfs.tenant = 'en' AND dfs.term IN (SELECT term FROM qt)""",
+        "retrieval_vocabulary_weights": f"""WITH {bm25(DOCS, ASKED)} SELECT dfs.tenant, dfs.term, dfs.df, ROUND(LN((st.n - dfs.df + 0.5) / (dfs.df + 0.5) + 1), 6) AS idf
+          FROM dfs JOIN st ON dfs.tenant = st.tenant WHERE dfs.term IN (SELECT term FROM qt)""",
         "retrieval_bm25": f"""WITH {bm25(DOCS, ASKED)} SELECT query_id, rank, id, ROUND(score, 4) AS score,
           ROUND(score / MAX(score) OVER (PARTITION BY query_id), 4) AS normalized FROM ranked""",
         "retrieval_bm25_of_one_source": f"""WITH {bm25(one_source, ASKED)} SELECT query_id, rank, id,
@@ -112,11 +113,11 @@ def sql() -> dict[str, str]:
         "retrieval_fused": f"WITH {fused(5)} SELECT query_id, rank, id, ROUND(fused, 6) AS fused FROM rrf",
         "retrieval_all_rankers": f"WITH {RESULTS} SELECT ranker, query_id, rank, id, score FROM results",
         "retrieval_confidence": f"WITH {RESULTS}, {bands('results', KEYS)} SELECT ranker, query_id, confidence_band FROM bands",
-        "retrieval_blank_query": f"""WITH {bm25("SELECT doc_id AS id, lang AS tenant, text FROM documents WHERE lang = 'en'", first_texts)},
+        "retrieval_blank_query": f"""WITH {bm25(DOCS + " WHERE lang IS NOT NULL", first_texts)},
           res AS (SELECT 'bm25' AS ranker, query_id, rank, ROUND(score / MAX(score) OVER (PARTITION BY query_id), 4) AS score FROM ranked),
           {bands('res', blank_keys)} SELECT query_id, top1_absolute, top1_minus_top2_gap, top1_to_top5_avg_ratio, confidence_band FROM bands""",
         "retrieval_reranked": f"""WITH {bm25(BOTH_DOCS, BOTH_ASKED, 10)}, {ITEM_PAIRS},
-          rr AS (SELECT r.query_id, r.id, 1 / (1 + EXP(-(ROUND(c.score, 6) * 10 - 3))) AS score FROM ranked r JOIN cs c ON r.query_id = c.query_id AND r.id = c.id)
+          rr AS (SELECT r.query_id, r.id, 1 / (1 + EXP(-(ROUND(COALESCE(c.score, 0), 6) * 10 - 3))) AS score FROM ranked r LEFT JOIN cs c ON r.query_id = c.query_id AND r.id = c.id)
           SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY ROUND(score, 9) DESC, id) AS rank, id, ROUND(score, 5) AS score FROM rr) WHERE rank <= 5""",
         "retrieval_pair_cosine": f"WITH {PAIRS} SELECT c.id, ROUND(c.score, 5) AS similarity FROM cs c JOIN embeddings e ON c.id = e.vec_id AND e.label = c.query_id",
         "evaluation_retrieval_summary": SUMMARY,

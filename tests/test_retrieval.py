@@ -51,6 +51,19 @@ def test_bm25_of_one_document(spark):
     assert len(rows) == 1 and rows[0]["score"] > 0
 
 
+def test_dense_with_text_ids_and_missing_vectors(spark):
+    corpus = spark.createDataFrame(
+        [("t:b", "t", [1.0, 0.0]), ("t:a", "t", [2.0, 0.0]), ("t:c", "t", [0.0, 1.0]), ("t:d", "t", None), ("u:a", "u", [1.0, 0.0])],
+        "id string, tenant string, vector array<double>",
+    )
+    asked = spark.createDataFrame(
+        [("q", "t", [1.0, 0.0]), ("none", "t", None)], "query_id string, tenant string, vector array<double>"
+    )
+    rows = dense_top_k(corpus, asked, 2).orderBy("rank").collect()
+    assert [(x["query_id"], x["rank"], x["id"]) for x in rows] == [("q", 1, "t:a"), ("q", 2, "t:b")]
+    assert dense_top_k(corpus, asked.where("query_id = 'none'"), 2).collect() == []
+
+
 @pytest.mark.parametrize("block", [2, 4096])
 def test_dense_against_brute_force(spark, block):
     rng = np.random.default_rng(1)
