@@ -222,27 +222,34 @@ def append_run_log(runs: DataFrame, path: str) -> None:
 def guard_plan(df: DataFrame, columns: Sequence[str], tables: Iterable[str], limit: int = 100) -> DataFrame:
     """Refuse a result that shows other columns or reads other tables than allowed; then bound it.
 
-    ``tables`` are the view or table names the plan may read.
+    ``tables`` are the view or table names the plan may read. Data that is read by no such name
+    (files by their path, a frame under an alias, a query in a subquery) is refused. The rows
+    kept are the first ``limit`` in the order of all columns.
     """
     shown = [c for c in df.columns if c not in set(columns)]
     if shown:
         raise ValueError(f"columns not allowed: {shown}")
     allowed = {t.lower() for t in tables}
-    read = {name for name in _plan_tables(df)}
+    read = _relations(df._jdf.queryExecution().analyzed())
     if read - allowed:
         raise ValueError(f"tables not allowed: {sorted(read - allowed)}")
-    return df.limit(limit)
-
-
-def _plan_tables(df: DataFrame) -> set[str]:
-    """Names of views and tables in the analysed plan."""
-    text = df._jdf.queryExecution().analyzed().toString()
-    names = set()
-    for line in text.splitlines():
-        node = line.strip(" :+-!'")
-        if node.startswith("SubqueryAlias "):
-            names.add(node.removeprefix("SubqueryAlias ").split(".")[-1].strip("`").lower())
-    return names
+    return df.orderBy(*[F.col(f"`{c}`") for c in df.columns]).limit(limit)
+
+
+# leaves of a plan that hold no data of a table; the definition behind a reference is visited itself
+DATALESS = ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef")
+
+
+def _relations(plan: Any) -> set[str]:
+    """Names of the views and tables an analysed plan reads; ``<kind of node>`` for unnamed data."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "View":
+        return {plan.desc().identifier().table().lower()}
+    parts = [seq.apply(i) for seq in (plan.children(), plan.subqueries()) for i in range(seq.size())]
+    if not parts and kind not in DATALESS:
+        table = plan.catalogTable() if kind == "LogicalRelation" else None
+        return {table.get().identifier().table().lower() if table and table.isDefined() else f"<{kind}>"}
+    return set().union(*map(_relations, parts))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

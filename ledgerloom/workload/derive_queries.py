@@ -85,7 +85,7 @@ def guarded_revenue(wh: Any) -> DataFrame:
         "JOIN guarded_dim_customer c USING (customer_key) GROUP BY c.segment"
     )
     return files.guard_plan(
-        asked, ["segment", "revenue"], ["s", "c", "guarded_o2c_sales_order_line", "guarded_dim_customer"]
+        asked, ["segment", "revenue"], ["guarded_o2c_sales_order_line", "guarded_dim_customer"]
     )
 
 

@@ -84,6 +84,31 @@ def test_guard(spark):
         files.guard_plan(asked, ["id"], ["guard_a", "guard_b"])
 
 
+def test_guard_refuses_data_without_a_name(spark, tmp_path):
+    spark.range(5).createOrReplaceTempView("guard_b")
+    path = f"{tmp_path}/bare"
+    spark.range(3).write.parquet(path)
+    for hidden in (
+        spark.read.parquet(path), spark.read.parquet(path).alias("guard_b"),
+        spark.sql(f"SELECT id FROM parquet.`{path}`"), spark.sql(f"WITH c AS (SELECT id FROM parquet.`{path}`) SELECT id FROM c"),
+        spark.sql(f"SELECT id FROM guard_b WHERE id IN (SELECT id FROM parquet.`{path}`)"),
+    ):
+        with pytest.raises(ValueError, match="tables not allowed"):
+            files.guard_plan(hidden, ["id"], ["guard_b"])
+    named = spark.sql("WITH c AS (SELECT id FROM guard_b) SELECT id FROM c WHERE id < (SELECT MAX(id) FROM guard_b)")
+    assert [x.id for x in files.guard_plan(named, ["id"], ["guard_b"], 2).collect()] == [0, 1]
+
+
+def test_guard_knows_stored_tables(spark, tmp_path):
+    spark.sql(f"CREATE TABLE guard_stored (k BIGINT) USING parquet LOCATION '{tmp_path}/t'")
+    try:
+        assert files.guard_plan(spark.table("guard_stored"), ["k"], ["guard_stored"]).count() == 0
+        with pytest.raises(ValueError, match="guard_stored"):
+            files.guard_plan(spark.table("guard_stored"), ["k"], ["guard_b"])
+    finally:
+        spark.sql("DROP TABLE guard_stored")
+
+
 def test_insert_by_position(spark, tmp_path):
     spark.sql(f"CREATE TABLE inserted_rows (k BIGINT, v STRING) USING parquet LOCATION '{tmp_path}/t'")
     try:

@@ -18,6 +18,13 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
+def test_every_query_of_the_warehouses_has_sql():
+    from ledgerloom.workload import registry
+    from oracle import registry as sql
+
+    assert set(registry.queries()) == set(sql.sql())
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(name, spark, sf_dir, con):
     result = QUERIES[name](spark, sf_dir)
