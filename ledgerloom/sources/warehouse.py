@@ -364,8 +364,9 @@ def _sales_order(wh: Warehouse) -> DataFrame:
         .otherwise("Pending")
     )
     orders = wh["orders_with_lines"].withColumn("primary_item", F.coalesce("line_item_key", F.lit(1)))
-    items = wh["part"].select(F.col("p_partkey").alias("primary_item"), F.col("p_type").alias("primary_item_category"))
-    return orders.join(items, "primary_item").select(
+    # one row per item by construction: Catalyst drops the join where no category is asked for
+    items = wh["part"].groupBy(F.col("p_partkey").alias("primary_item")).agg(F.max("p_type").alias("primary_item_category"))
+    return orders.join(items, "primary_item", "left").select(
         F.col("o_orderkey").alias("order_id"),
         F.to_date("o_orderdate").alias("order_date"),
         F.col("o_custkey").alias("customer_id"),
