@@ -108,7 +108,7 @@ SELECT o.o_orderkey AS order_id, CAST(o.o_orderdate AS DATE) AS order_date, o.o_
   o.o_totalprice AS total_amount, COALESCE(x.line_count, 0) AS line_count, i.category AS primary_item_category,
   o.o_totalprice * 0.55E0 / COALESCE(x.line_count, 1) AS effective_unit_cost,
   45E0 + o.o_orderkey % 5 AS effective_gross_margin_pct
-FROM orders o LEFT JOIN order_lines x ON o.o_orderkey = x.l_orderkey JOIN dim_item i ON COALESCE(x.item_key, 1) = i.item_key"""
+FROM orders o LEFT JOIN order_lines x ON o.o_orderkey = x.l_orderkey LEFT JOIN dim_item i ON COALESCE(x.item_key, 1) = i.item_key"""
 VIEWS["furniture_customer"] = """
 SELECT customer_key AS customer_id, customer_name, segment AS customer_segment, region, credit_days AS terms_days FROM dim_customer"""
 VIEWS["fact_invoice"] = """
