@@ -183,9 +183,9 @@ def catalog_counts(wh: Mapping[str, DataFrame], names: Sequence[str] | None = No
 
 
 def bounded_result(df: DataFrame, n: int = 100) -> tuple[DataFrame, DataFrame]:
-    """At most n rows, and one row ``(row_count, truncated)`` over the whole result."""
+    """The first n rows in the order of all columns, and ``(row_count, truncated)`` of the whole result."""
     size = df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("truncated", F.col("row_count") > n)
-    return df.limit(n), size
+    return df.orderBy(*[F.col(f"`{c}`") for c in df.columns]).limit(n), size
 
 
 def normalize_types(df: DataFrame) -> DataFrame:
