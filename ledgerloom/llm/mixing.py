@@ -59,17 +59,27 @@ def softmax(scores: Column) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
+def domain_sizes(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``domain`` and ``n``, its labelled documents among ``docs``.
+
+    Both sides are counted by id before they meet, so a repeated id arrives as one row.
+    """
+    times = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    given = labelled.groupBy("doc_id", "domain").agg(F.count(F.lit(1)).alias("given"))
+    return given.join(times, "doc_id").groupBy("domain").agg(F.sum(F.col("given") * F.col("times")).alias("n"))
+
+
 def fit_domains(docs: DataFrame, labelled: DataFrame, most: int = LABELLED) -> DomainModel:
     """Learn the domains of the labelled table.
 
-    At most ``most`` labelled rows of a domain are used, drawn by hashed ids: a bounded,
-    repeatable sample. Their number bounds what is broadcast. Labels of unknown
-    documents have no effect; a document labelled twice counts twice.
+    The words of at most ``most`` labelled rows of a domain are used, drawn by hashed ids: a
+    bounded, repeatable sample. Their number bounds what is broadcast. The priors count all
+    labelled documents, whatever ``most`` is. Labels of unknown documents have no effect; a
+    document labelled twice counts twice.
     """
     known = labelled.where(F.col("doc_id").isNotNull()).select("doc_id", "domain")
     sample = stored(bounded_sample(known, "domain", F.col("doc_id"), most, SAMPLE_CLASSES), "labelled")
-    sizes = sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    domains = sorted(r.domain for r in sizes.select("domain").take(MOST_DOMAINS + 1))
+    domains = sorted(r.domain for r in sample.select("domain").distinct().take(MOST_DOMAINS + 1))
     if len(domains) > MOST_DOMAINS:
         raise ValueError(f"more than {MOST_DOMAINS} domains")
     if not domains:
@@ -81,7 +91,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, most: int = LABELLED) -> D
     rows = {d: np.ones(BINS) for d in domains}
     for row in counts.collect():  # at most MOST_DOMAINS x BINS rows
         rows[row.domain][row.bin] += row.n
-    n = {r.domain: r.n for r in sizes.collect()}
+    n = {r.domain: r.n for r in domain_sizes(docs, known).collect()}  # at most MOST_DOMAINS rows
     return DomainModel(
         domains, [float(np.log(n.get(d, 0) + 1.0)) for d in domains],
         [np.log(rows[d] / rows[d].sum()).tolist() for d in domains],

@@ -221,6 +221,17 @@ def test_mixing_meets_reachable_targets(spark, sf_dir):
     assert all(r.copies in (math.floor(r.rate), math.floor(r.rate) + 1) and 0 <= r.rate <= 4 for r in rows)
 
 
+def test_priors_count_all_labelled_documents(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} text") for i in range(3000)] + [(0, "again")], "doc_id long, text string")
+    names = [(i, "good" if i % 10 else "low") for i in range(2000)] + [(i, "low") for i in range(9000, 9500)]
+    labelled = spark.createDataFrame([*names, (1, "good"), (None, "low")], "doc_id long, domain string")
+    whole, few = mixing.fit_domains(docs, labelled), mixing.fit_domains(docs, labelled, most=40)
+    assert whole.domains == few.domains == ["good", "low"]
+    # 1800 good and one of them twice; 200 low and document 0 in two rows; the rest has no document
+    assert whole.priors == few.priors == [pytest.approx(math.log(1802)), pytest.approx(math.log(202))]
+    assert whole.weights != few.weights
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
