@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ SYMBOLS = "#*$%&|<>"
 # of clean text may well be constant, so no spread counts as less than FLOORS
 FLOORS = {"x_length": 0.15, "x_symbols": 0.12, "x_lines": 0.12, "x_repeats": 0.12}
 STATS = list(FLOORS)
-SHARE = 0.75  # of each group in the subset whose determinant is least
-C_STEPS = 3
+SHARE = 0.5  # of each group in the subset whose determinant is least; any more breaks under fewer outliers
+MOST_STEPS = 30
+SETTLED = 0.01  # relative change of a group's limit below which its C-steps are at their end
 LEAST_ROWS = 50
 CUTOFF = 40.0  # chi-square of four degrees: one clean document in some ten million
 
@@ -102,7 +104,9 @@ def _estimates(rows: DataFrame, centre: bool) -> DataFrame:
     if centre:
         quartiles = [F.percentile_approx(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(s) for s in STATS]
         out = rows.groupBy("group").agg(*quartiles)
-        spread = [F.greatest((F.get(s, F.lit(2)) - F.get(s, F.lit(0))) / 1.349, F.lit(FLOORS[s])) for s in STATS]
+        # the narrower side of the median: outliers on one side do not widen it, up to half of the rows
+        sides = [F.least(F.get(s, F.lit(2)) - F.get(s, F.lit(1)), F.get(s, F.lit(1)) - F.get(s, F.lit(0))) for s in STATS]
+        spread = [F.greatest(side * 2 / 1.349, F.lit(FLOORS[s])) for side, s in zip(sides, STATS)]
         return out.select(
             "group", *[F.get(s, F.lit(1)).alias(f"m{k}") for k, s in enumerate(STATS)],
             *[(spread[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in p for j in range(i + 1)],
@@ -136,14 +140,22 @@ def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return out.select(*rows.columns, distance.alias("distance"))
 
 
+def _moved(before: DataFrame, limits: DataFrame) -> float:
+    """The largest relative change of a group's limit."""
+    was = before.withColumnRenamed("limit", "was")
+    change = F.abs(F.col("limit") - F.col("was")) / F.greatest(F.col("limit"), F.col("was"), F.lit(1e-9))
+    return limits.join(was, "group").agg(F.max(change)).first()[0] or 0.0
+
+
 def judge_quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The contract's counts and base rule, and the verdict of the robust outlier test.
 
     Statistics (mean word length and the rates of symbols, repeated lines and repeated words,
     smoothed and transformed) are compared within their group by the minimum covariance
     determinant: starting from medians and quartiles, C-steps keep the ``SHARE`` of each group
-    nearest to the last estimate and estimate mean and covariance anew. Quantiles are
-    mergeable sketches over all rows. A row is rejected where its squared distance exceeds
+    nearest to the last estimate and estimate mean and covariance anew, until the distance
+    that bounds the share settles in every group. Up to half of a group's rows may be outliers
+    before its estimate breaks. Quantiles are mergeable sketches over all rows. A row is rejected where its squared distance exceeds
     ``cutoff``. Groups are language and source; one of fewer than LEAST_ROWS rows takes its
     language's rows, or all rows. Only rows that pass the base rule are used to estimate,
     where a group has them.
@@ -174,11 +186,19 @@ def judge_quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     fallback = used.sparkSession.createDataFrame([("{}",)], "group string")
     evidence = stored(used.join(wanted.unionByName(fallback).distinct(), "group", "left_semi"), "evidence")
     estimates = _few(_estimates(evidence, centre=True), "estimates")
-    for _ in range(C_STEPS):
+    moved, last = 1.0, None
+    for _ in range(MOST_STEPS):
         near = _with_distance(evidence, estimates)
         limit = _few(near.groupBy("group").agg(F.percentile_approx("distance", SHARE, 10_000).alias("limit")), "limits")
         subset = near.join(limit, "group").where("distance <= limit")
         estimates = _few(_estimates(subset, centre=False), "estimates")
+        if last is not None:
+            moved = _moved(last, limit)
+        last = limit
+        if moved <= SETTLED:
+            break
+    else:
+        warnings.warn(f"limits still move by {moved:.3f} after {MOST_STEPS} C-steps", stacklevel=2)
     judged = rows.join(estimates, "group", "left")
     for i, stat in enumerate(STATS):
         value = F.col(stat) - F.col(f"m{i}")

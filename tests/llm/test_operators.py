@@ -203,6 +203,20 @@ def test_quality_counts(spark, sf_dir):
         assert not (failed and own.kept)
 
 
+def test_quality_of_a_group_with_many_outliers(spark):
+    blob, draw = words_in(13, "abcdefghij")
+    rows = []
+    for i in range(400):
+        junk = i % 5 < 2 and i < 200  # two fifths of the first group, none of the second
+        words = blob(draw.randint(120, 200)).split()
+        share = draw.uniform(0.3, 0.6) if junk else 0.0
+        rows.append((i, " ".join(w + "#" * (draw.random() < share) for w in words), "en", "a" if i < 200 else "b", junk))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    found = {r.doc_id: r for r in quality.judge_quality(docs.drop("junk")).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert sorted(i for i, r in found.items() if r.kept) == [i for i, *_, junk in rows if not junk]
+
+
 def test_languages_of_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = queries.op9_languages(spark, sf_dir).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
