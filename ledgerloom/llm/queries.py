@@ -5,9 +5,11 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    decontamination, languages, licenses, mixing, near_duplicates, quality, scoring, sharding, substrings, tokens,
+    decontamination, languages, licenses, mixing, near_duplicates, neighbours, quality, scoring, search, sharding, spellings,
+    substrings, tokens,
 )
 from ledgerloom.llm.common import is_held_out, table
 
@@ -66,10 +68,23 @@ def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_texts(table(spark, sf_dir, "documents"), is_held_out(7, 2))
 
 
+def op11_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.spelling_forms(table(spark, sf_dir, "documents"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return neighbours.score_quality(table(spark, sf_dir, "documents"), labelled, is_held_out(4, 2))
+
+
 def queries() -> dict:
     found = [
         op1_mixing, op2_licenses, op3_decontamination, op4_substrings, op5_sharding, op6_near_duplicates,
-        op7_tokens, op8_quality, op9_languages, op10_scoring,
+        op7_tokens, op8_quality, op9_languages, op10_scoring, op11_spellings, op12_search, op13_neighbours,
     ]
     return {query.__name__: query for query in found}
 
@@ -143,6 +158,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), '{u}', '{l}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(u=UPPER, l=LOWER)
+SEARCH_SQL = f"""
+WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_all FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, t, count(*) AS r FROM (SELECT item_id, unnest({TERMS}) AS t FROM benchmark) GROUP BY item_id, t),
+p AS (
+  SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY doc_id, n, t
+),
+v AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY t, n_docs
+),
+g AS (
+  SELECT item_id, doc_id,
+    CAST(sum(r * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_all)))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN v USING (t), s GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM g WHERE score > 0 QUALIFY rank <= 10
+"""
+
 # the jump of each key: state before the jump, shard, next place
 SHARDING_SQL = """
 WITH RECURSIVE d AS (
@@ -174,5 +210,5 @@ FROM sized
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB has no crc32, so the sharding query is tested against a brute-force version."""
-    return {"op2_licenses": _license_sql(), "op3_decontamination": DECONTAMINATION_SQL}
+    """DuckDB has no crc32, so the queries that need one are tested against brute-force versions."""
+    return {"op2_licenses": _license_sql(), "op3_decontamination": DECONTAMINATION_SQL, "op12_search": SEARCH_SQL}

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    decontamination, languages, licenses, mixing, near_duplicates, quality, queries, scoring, sharding, substrings, tokens,
+    decontamination, languages, licenses, mixing, near_duplicates, neighbours, quality, queries, scoring, sharding, substrings,
+    tokens,
 )
 from ledgerloom.llm.common import is_held_out
 
@@ -48,12 +49,15 @@ def operators(spark):
         "quality": quality.judge_quality,
         "languages": lambda d: languages.predict_languages(d, is_held_out(5, 0)),
         "scoring": lambda d: scoring.score_texts(d, is_held_out(7, 2)),
+        "neighbours": lambda d: neighbours.score_quality(
+            d, labelled.select("doc_id", (F.col("domain") == "good").cast("int").alias("label")), is_held_out(4, 2)
+        ),
     }
 
 
 NAMES = [
     "mixing", "licenses", "decontamination", "substrings", "sharding", "near_duplicates", "tokens", "quality",
-    "languages", "scoring",
+    "languages", "scoring", "neighbours",
 ]
 
 
