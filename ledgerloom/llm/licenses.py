@@ -23,6 +23,7 @@ PHRASES = {
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
+    "cc-by": "licensed under cc by 4 0",
     "cc-by-nc": "licensed under cc by nc 4 0",
     "cc-by-sa": "licensed under cc by sa 4 0",
     "cc0": "dedicated to the public domain under cc0 1 0 universal",
@@ -35,6 +36,12 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
+# tokens that tell a template from related ones: a block without them does not match it
+REQUIRED = {
+    "apache-2.0": ["apache"], "cc-by-nc": ["nc"], "cc-by-sa": ["sa"], "cc0": ["cc0"], "gpl": ["gnu"], "lgpl": ["lesser"],
+    "mpl-2.0": ["mozilla"],
+}
+
 
 def phrase_places(words: Column, joined: Column, phrase: str) -> Column:
     """Starts of all places where the phrase's words follow each other."""
@@ -71,10 +78,13 @@ def frequency_order(words: DataFrame, vocabulary: set[str]) -> list[str]:
 
 
 def matching_blocks(
-    words: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD
+    words: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD,
+    required: dict[str, list[str]] = REQUIRED,
 ) -> DataFrame:
     """Every (block, template) with at least ``threshold`` of the template's tokens in the block.
 
+    Tokens that ``required`` names for a template must all be among them.
+
     ``words`` has ``doc_id``, ``text_key`` and ``words``. Blocks are runs of BLOCK_WORDS words,
     each beginning half a block after the one before. The join is exact:
 
@@ -95,9 +105,9 @@ def matching_blocks(
         needed = _needed(text, threshold)
         least = min(least, needed)
         for place, token in enumerate(template[: len(template) - needed + 1]):
-            rows.append((token, label, template, needed, place))
+            rows.append((token, label, template, needed, place, required.get(label, [])))
     prefix = words.sparkSession.createDataFrame(
-        rows, "token string, label string, template array<string>, needed int, place int"
+        rows, "token string, label string, template array<string>, needed int, place int, required array<string>"
     )
     known = F.array(*map(F.lit, order))
     half = BLOCK_WORDS // 2
@@ -117,7 +127,9 @@ def matching_blocks(
     size, total = F.size("own"), F.size("template")
     before = F.least(F.col("place"), F.col("j"))
     after = F.least(total - 1 - F.col("place"), size - 1 - F.col("j"))
-    joined = at.join(F.broadcast(prefix), "token").where((size >= F.col("needed")) & (before + 1 + after >= F.col("needed")))
+    joined = at.join(F.broadcast(prefix), "token").where(
+        (size >= F.col("needed")) & (before + 1 + after >= F.col("needed")) & (F.size(F.array_except("required", "own")) == 0)
+    )
     overlap = F.size(F.array_intersect("own", "template"))
     return (
         joined.select("doc_id", "text_key", "block", "label", "needed", total.alias("total"), overlap.alias("overlap"))
@@ -132,7 +144,7 @@ def scan_licenses(
     """License phrases and template matches of every text.
 
     ``base_labels`` come from phrases (all places), ``labels`` also from templates that a block
-    holds to ``threshold``. ``score`` is the best containment, 1 where a phrase stands, 0 where
+    holds to ``threshold``, with the tokens that tell related templates apart. ``score`` is the best containment, 1 where a phrase stands, 0 where
     nothing does. A null or empty text has no words and no labels; rows with the same id keep
     a row each.
     """

@@ -104,7 +104,8 @@ def _license_sql() -> str:
     for label, text in licenses.TEMPLATES.items():
         distinct = sorted(set(text.split(" ")))
         listed = ", ".join(f"'{t}'" for t in distinct)
-        block_rows.append(f"('{label}', [{listed}])")
+        needed = ", ".join(f"'{t}'" for t in licenses.REQUIRED.get(label, []))
+        block_rows.append(f"('{label}', [{listed}], CAST([{needed}] AS VARCHAR[]))")
     half = licenses.BLOCK_WORDS // 2
     return f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
@@ -113,10 +114,11 @@ b AS (
   SELECT doc_id, i, list_distinct(w[i * {half} + 1:i * {half} + {licenses.BLOCK_WORDS}]) AS own
   FROM d, unnest(range(greatest(1, CAST(ceil((len(w) - {half}) / {half}.0) AS BIGINT)))) AS t(i)
 ),
-t(label, tokens) AS (VALUES {', '.join(block_rows)}),
+t(label, tokens, required) AS (VALUES {', '.join(block_rows)}),
 m AS (
   SELECT doc_id, i, label, len(list_intersect(own, tokens)) / CAST(len(tokens) AS DOUBLE) AS containment
   FROM b, t WHERE len(list_intersect(own, tokens)) >= ceil(round({licenses.THRESHOLD} * len(tokens), 6))
+    AND len(list_intersect(own, required)) = len(required)
 ),
 ps AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
