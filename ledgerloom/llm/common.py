@@ -61,6 +61,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", text_hash().alias("text_key"))
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and ``row``, a struct of all columns: their names cannot clash with others.
+
+    ``select("row.*")`` gives the documents back.
+    """
+    return docs.select("doc_id", "text", F.struct(*[docs[f"`{name}`"] for name in docs.columns]).alias("row"))
+
+
 def same_key(left: DataFrame, right: DataFrame, names: tuple[str, ...] = ("doc_id", "text_key")) -> Column:
     """Null-safe equality of the key columns."""
     condition = F.lit(True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import (
-    BROADCAST_ROWS, alnum_words, join_keyed, n_alnum_words, positions, stored, text_hash,
+    BROADCAST_ROWS, alnum_words, join_keyed, n_alnum_words, only, positions, stored, text_hash, with_row,
 )
 
 SPAN = 13  # words of a window
@@ -180,8 +180,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     bad = decontaminate(docs, benchmark).where("contaminated").select("doc_id", "text_key").distinct()
-    keys = stored(bad.withColumnsRenamed({"doc_id": "__doc", "text_key": "__bad"}), "contaminated")
-    own = docs.withColumn("__key", text_hash())
-    side = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    condition = own["doc_id"].eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__bad"))
-    return own.join(side, condition, "left_anti").drop("__key")
+    own = with_row(docs).withColumn("text_key", text_hash())
+    return only(own, stored(bad, "contaminated"), anti=True).select("row.*")

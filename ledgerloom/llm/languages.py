@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_sample, keyed, only, stored, text_hash
+from ledgerloom.llm.common import bounded_sample, only, stored, text_hash, with_row
 from ledgerloom.llm.numeric import as_bytes, in_batches
 
 DIMENSIONS = 4096
@@ -207,4 +207,5 @@ def predict_languages(docs: DataFrame, held_out: Column, sample: int = SAMPLE) -
 def keep_identified(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, with all their columns."""
     model = fit_languages(docs, usable, sample)
-    return docs.withColumn("__found", identify(F.col("text"), model)).where(~F.col("__found.rejected")).select(*docs.columns)
+    judged = with_row(docs).withColumn("found", identify(F.col("text"), model))
+    return judged.where(~F.col("found.rejected")).select("row.*")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import alnum_words, bounded_sample, positions, stored, text_hash
+from ledgerloom.llm.common import alnum_words, bounded_sample, positions, stored, text_hash, with_row
 
 BINS = 4096
 LABELLED = 20_000  # labelled rows of each domain that the classifier learns from, at most
@@ -229,7 +229,7 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], **options) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say, with all their columns."""
     model = fit_domains(docs, labelled)
-    rows = with_posteriors(docs, model)
+    rows = with_posteriors(with_row(docs), model)
     mix = fit_mix(rows.select(F.size("__bins").alias("n"), F.col("__p").alias("p")), model, weights, **options)
     rows = with_copies(rows, mix, draw_of())
-    return rows.withColumn("__i", F.explode(positions(F.col("__copies")))).select(*docs.columns)
+    return rows.withColumn("__i", F.explode(positions(F.col("__copies")))).select("row.*")
