@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # rows of two or three numbers that a side may have to be broadcast (about 50 MB)
 BROADCAST_ROWS = 1_000_000
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 # fixed patterns of the contracts
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -24,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the batches that tasks hand to Python, unless the session has a bound."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(4 << 20))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, on one machine a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)

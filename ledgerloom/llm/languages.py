@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_sample, only, stored, text_hash, with_row
+from ledgerloom.llm.common import bounded_sample, only, small_batches, stored, text_hash, with_row
 from ledgerloom.llm.numeric import as_bytes, in_batches
 
 DIMENSIONS = 4096
 SAMPLE = 1000  # labelled documents of each language that are learned from, at most
 SAMPLE_CLASSES = 8
 CENTROIDS = 4
+PIECE = 1 << 20  # bytes of a long text that are counted at a time
 ITERATIONS = 8
 # a text is rejected below this part of what all but REJECT_SHARE of the sample of its length reach
 REJECT_PART = 0.5
@@ -34,7 +35,18 @@ def has_letter(text) -> bool:
 
 
 def ngram_counts(texts: list[bytes]) -> np.ndarray:
-    """Counts of hashed byte pairs and triples of each text; a gap is added around it."""
+    """Counts of hashed byte pairs and triples of each text; a gap is added around it.
+
+    A text of over two PIECEs is counted by the piece; pieces share two bytes, so none is lost
+    and only the pair that both hold counts twice.
+    """
+    if len(texts) == 1 and len(texts[0]) > 2 * PIECE:
+        text = texts[0]
+        return sum(_ngram_counts([text[at : at + PIECE + 2]]) for at in range(0, len(text), PIECE))
+    return _ngram_counts(texts)
+
+
+def _ngram_counts(texts: list[bytes]) -> np.ndarray:
     buffer = np.frombuffer(b" ".join(texts).join([b" ", b"  "]), np.uint8)
     symbol = _SYMBOL[buffer]
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
@@ -105,6 +117,7 @@ def fit_languages(docs: DataFrame, usable: Column, sample: int = SAMPLE, k: int
     repeatable sample. Documents without a letter teach nothing. The driver gets one
     vector of DIMENSIONS for each partition (document frequencies) and for each centroid.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     narrow = rows.select("doc_id", "lang", text_hash().alias("text_key"))
     chosen = bounded_sample(narrow, "lang", F.col("text_key"), sample, SAMPLE_CLASSES)

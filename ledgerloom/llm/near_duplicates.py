@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import keyed, only, stored, text_hash
-from ledgerloom.llm.numeric import BATCH_BYTES, GOLDEN, RangeHash, as_bytes, in_batches, joined, mixed, words_of
+from ledgerloom.llm.common import keyed, only, small_batches, stored, text_hash, with_row
+from ledgerloom.llm.numeric import GOLDEN, RangeHash, as_bytes, in_batches, joined, mixed, words_of
 
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 COMPONENTS = 128
 BANDS = 32  # of four components: a pair of similarity 0.8 shares none once in 20 million times
+SLICE = 1 << 19  # bytes of texts that are hashed together
+PERMUTED = 4 << 20  # bytes of the permutations that are held together
+PIECE = 1 << 19  # bytes of a long text that are hashed at a time
 PAIRED = 16  # members of a bucket that are all compared with each other
 
 
@@ -52,13 +58,14 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """The distinct hashes of k-word shingles of each text; one for fewer words, none for none."""
+    """The distinct hashes of k-word shingles of each text; one for fewer words, none for none.
+
+    Texts are hashed by the slice, a long text by the piece: of a text of any length only one
+    hash for each word and each shingle is held.
+    """
     found: list[np.ndarray] = []
-    for begin, end in in_batches(np.fromiter((len(t) for t in texts), np.int64, len(texts))):
-        buffer, text_starts, _ = joined(texts[begin:end], lower=True)
-        starts, ends, owner = words_of(buffer, text_starts)
-        words = RangeHash(buffer)(starts, ends)
-        first = np.searchsorted(owner, np.arange(end - begin + 1))
+    for begin, end in in_batches(np.fromiter((len(t) for t in texts), np.int64, len(texts)), SLICE):
+        words, first = _word_hashes(texts[begin:end])
         grams = np.full(max(len(words) - k + 1, 0), 7, np.uint64)
         for i in range(k):
             grams = mixed(grams * GOLDEN + words[i : i + len(grams)])
@@ -76,27 +83,62 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return found
 
 
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, and where the words of each text begin (and the last end)."""
+    if len(texts) > 1 or len(texts[0]) <= 2 * PIECE:
+        buffer, text_starts, _ = joined(texts, lower=True)
+        starts, ends, owner = words_of(buffer, text_starts)
+        return RangeHash(buffer)(starts, ends), np.searchsorted(owner, np.arange(len(texts) + 1))
+    text, begin, parts = texts[0], 0, []
+    while begin < len(text):
+        # a piece ends at a space, however far the next one is
+        blank = SPACE.search(text, begin + PIECE)
+        end = blank.start() if blank else len(text)
+        buffer, starts, _ = joined([text[begin:end]], lower=True)
+        parts.append(RangeHash(buffer)(*words_of(buffer, starts)[:2]))
+        begin = end
+    words = np.concatenate(parts)
+    return words, np.array([0, len(words)])
+
+
 def _sequence(text: bytes) -> bytes | None:
     """A digest of the words in order; None without words."""
     words = text.lower().split()  # bytes: A-Z only, and ASCII white space only
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
 
 
+def _signed_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """Signatures of some sets; of one large set by parts, whose least ranks are those of the whole."""
+    if len(sets) > 1 or COMPONENTS * len(sets[0]) <= 2 * PERMUTED:
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        return super_minhash(np.concatenate(sets), owner, len(sets))
+    step = PERMUTED // COMPONENTS
+    parts = [sets[0][i : i + step] for i in range(0, len(sets[0]), step)]
+    return np.min([super_minhash(p, np.zeros(len(p), np.int64), 1) for p in parts], axis=0)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows of about SLICE bytes of text, with their texts; a longer text stands alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)
+        for begin, end in in_batches(sizes + 64, SLICE):
+            part = batch.slice(begin, end - begin)
+            yield part, as_bytes(part.column("text").to_pylist())
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """``doc_id``, ``text_key``, digest of the words, size of the set, band hashes."""
     rows = keyed(docs)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_bytes(batch.column("text").to_pylist())
+        for batch, texts in _slices(batches):
             sets = shingle_sets(texts, k)
             bands: list = [None] * len(sets)
             # the permutations of a batch take COMPONENTS bytes for each element
-            for begin, end in in_batches(np.array([COMPONENTS * len(s) for s in sets]), 8 * BATCH_BYTES):
+            for begin, end in in_batches(np.array([COMPONENTS * len(s) for s in sets]), PERMUTED):
                 part = sets[begin:end]
-                owner = np.repeat(np.arange(len(part)), [len(s) for s in part])
-                marks = band_hashes(super_minhash(np.concatenate(part), owner, len(part)))
+                marks = band_hashes(_signed_sets(part))
                 for i, s in enumerate(part):
                     bands[begin + i] = marks[i] if len(s) else None
             yield pa.RecordBatch.from_arrays(
@@ -117,8 +159,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     rows = only(keyed(docs), wanted)
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_bytes(batch.column("text").to_pylist())
+        for _, texts in _slices(batches):
             sets = [s.view(np.int64) for s in shingle_sets(texts, k)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_sequence(t) for t in texts], pa.binary()), pa.array(sets, pa.list_(pa.int64()))],
@@ -229,15 +270,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     compared with the first, and where that leaves more than one group in the bucket, its
     members are joined exactly by prefix and length filters. Links are confirmed on whole sets.
 
-    ``component_id`` is the smallest id that links reach. A null or empty text has no set and
-    links with nothing. A row with a null id joins the group of equal words, if any, and else
-    is kept with a null ``component_id``. Rows with the same id and words stay together.
+    ``component_id`` is the smallest id that links reach, null where all members have none. A null
+    or empty text has no set and links with nothing. ``kept`` marks the rows of that id; ``first``
+    those that also have the least text among them, which are equal rows.
     """
+    small_batches(docs.sparkSession)
     signed = stored(signatures(docs, k), "signatures")
     nodes = stored(
-        signed.where(F.col("words").isNotNull() & F.col("doc_id").isNotNull()).groupBy("words").agg(
-            F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("bands").alias("bands")
-        ).select(F.struct("first.doc_id", "first.text_key", "words").alias("node"), "bands"),
+        # rows without an id are the last of a group
+        signed.where(F.col("words").isNotNull()).groupBy("words").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")).alias("first"),
+            F.first("bands").alias("bands"),
+        ).select(F.struct("first.*", "words").alias("node"), "bands"),
         "nodes",
     )
     at = nodes.select("node", F.explode("bands").alias("band"))
@@ -253,32 +297,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         more = stored(_confirmed(_rest_pairs(rest, sets, percent), sets, percent), "links")
         labels = grouped(links.unionByName(more))
     groups = nodes.select("node").join(labels, "node", "left").select(
-        F.col("node.words").alias("words"), F.coalesce("label", "node")["doc_id"].alias("component")
+        F.col("node.words").alias("words"), F.coalesce("label", "node").alias("label")
     )
     found = signed.drop("bands").join(groups, "words", "left")
-    component = F.coalesce("component", "doc_id")
+    alone = F.col("words").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("label.doc_id"))
+    kept = F.col("doc_id").eqNullSafe(component)
     return found.select(
-        "doc_id", "text_key", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
+        "doc_id", "text_key", "n_shingles", component.alias("component_id"), kept.alias("kept"),
+        (alone | (kept & (F.col("text_key") == F.col("label.text_key")))).alias("first"),
     )
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without later members of a group, with all their columns.
+    """The first row of each group of ``docs``, with all its columns.
 
-    Of rows with the same id and text one stays, whatever their other columns.
+    Of rows with the same id and text one stays, whatever their other columns. Texts without
+    words are in no group: they stay, those of one id once, those without an id all.
     """
     found = stored(near_duplicates(docs, k, percent), "groups")
-    dropped = stored(found.where(~F.col("kept")).select("doc_id", "text_key").distinct(), "dropped")
+    dropped = stored(found.where(~F.col("first")).select("doc_id", "text_key").distinct(), "dropped")
+    repeated = found.where(F.col("first") & (F.col("doc_id").isNotNull() | (F.col("n_shingles") > 0)))
     twice = stored(
-        found.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "twice"
+        repeated.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "twice"
     )
-    rows = docs.withColumn("text_key", text_hash()) if "text_key" not in docs.columns else None
-    if rows is None:
-        raise ValueError("documents have a column text_key")
-    rows = only(rows, dropped, anti=True)
+    rows = only(with_row(docs).withColumn("text_key", text_hash()), dropped, anti=True)
     if twice.limit(1).count():
-        again = only(rows, twice).where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text_key"])
-        nulls = only(rows, twice).where(F.col("doc_id").isNull())
-        rows = only(rows, twice, anti=True).unionByName(again).unionByName(nulls)
-    return rows.select(*docs.columns)
+        again = only(rows, twice).dropDuplicates(["doc_id", "text_key"])
+        rows = only(rows, twice, anti=True).unionByName(again)
+    return rows.select("row.*")

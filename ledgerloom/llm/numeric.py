@@ -9,7 +9,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -32,7 +32,7 @@ _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 def _powers(base: int, n: int, seed: int, inverse: bool) -> np.ndarray:
     known = _POWERS.get((seed, inverse))
     if known is None or len(known) < n:
-        size = max(n, BATCH_BYTES + 4096)
+        size = -(-n // (1 << 18)) * (1 << 18)
         known = np.full(size, base, np.uint64)
         known[0] = 1
         known = np.multiply.accumulate(known)
