@@ -52,7 +52,11 @@ DAILY_COST = sales(
     per=("order_date",), outer={"cogs": total("cost"), "cogs_days": count("order_date")},
 )
 STOCKOUT = stock({"out": total("case when is_stockout then 100D else 0D end"), "snapshots": count()})
-LATENESS = purchases({"late": total("late_days"), "po_lines": count("late_days")})
+# goods are bought for an order: its shipment knows the site
+LATENESS = replace(
+    purchases({"late": total("late_days"), "po_lines": count("late_days")}),
+    borrow={"dim_warehouse": ("po_number", "o2c_fulfillment_line", "so_line_key")},
+)
 SHIP_DAYS = shipments({"ship_days": total("order_to_ship_days"), "shipments": count("order_to_ship_days")})
 
 DSO = "try_divide(collect_weight, collected)"
@@ -60,6 +64,19 @@ DPO = "try_divide(pay_weight, paid)"
 DIO = "try_divide(try_divide(stock, stock_days), try_divide(cogs, cogs_days))"
 
 
+def ledger(account: str) -> Leg:
+    """Monthly balances of an account; companies and periods come from the journal they sum up."""
+    keep = f"account_name = '{account}'"
+    return Leg(
+        "gl_account_balance", {"balance": total("period_balance")}, keep=keep,
+        local={
+            "dim_date.year_num": "year_num", "dim_date.month_num": "month_num",
+            "dim_date.fiscal_period": "concat('FY', lpad(year_num % 100, 2, '0'), '-Q', cast(ceil(month_num / 3) as int))",
+        },
+        detail=Leg("gl_journal_line", {"balance": total("net_amount")}, keep=keep, day="posting_date"),
+    )
+
+
 def latest_snapshot(wh: Any, period: Period | None = None) -> DataFrame:
     """Stock on the last snapshot day, of the period if one is given.
 
@@ -220,9 +237,15 @@ _ALL = [
         formula="AVG(order_to_ship_days) FROM o2c_fulfillment_line",
     ),
     _metric(
-        "return_rate_pct", "Order to Cash", "negative", "Operations", "percentage", "Returned lines per hundred sales lines.",
+        "return_rate_pct", "Order to Cash", "negative", "Operations", "percentage", "Returned lines per hundred sales lines, by the day of the order.",
         (_CATEGORY, "dim_customer.segment", *_YQ),
-        legs=(Leg("o2c_return_line", {"returns": count()}), sales({"lines": count()})),
+        legs=(
+            Leg(
+                "o2c_return_line", {"returns": count()},
+                borrow={"dim_date": ("so_line_key", "o2c_sales_order_line", "so_line_key")}, borrowed_day="order_date",
+            ),
+            sales({"lines": count()}),
+        ),
         values={"return_rate_pct": "try_divide(returns * 100D, lines)"},
         grain="company", synonyms=("returns",), questions=("How much comes back?",),
         formula="COUNT(o2c_return_line) * 100 / COUNT(o2c_sales_order_line)",
@@ -348,12 +371,7 @@ _ALL = [
     _metric(
         "gl_revenue_by_period", "General Ledger", "positive", "Finance", "currency", "Revenue account movement per month.",
         ("dim_date.year_num", "dim_date.month_num", "dim_date.fiscal_period", _COMPANY),
-        legs=(
-            Leg(
-                "gl_account_balance", {"balance": total("period_balance")}, keep="account_name = 'Revenue'",
-                local={"dim_date.year_num": "year_num", "dim_date.month_num": "month_num"},
-            ),
-        ),
+        legs=(ledger("Revenue"),),
         values={"gl_revenue": "-balance"}, default_by=("dim_date.year_num", "dim_date.month_num"),
         grain="month", synonyms=("ledger revenue",), questions=("What revenue do the books show?",),
         formula="-SUM(period_balance) FROM gl_account_balance JOIN dim_gl_account JOIN dim_date",
@@ -361,12 +379,7 @@ _ALL = [
     _metric(
         "gl_cogs_trend", "General Ledger", "negative", "Finance", "currency", "Cost account movement per month.",
         ("dim_date.year_num", "dim_date.month_num", "dim_date.fiscal_period", _COMPANY),
-        legs=(
-            Leg(
-                "gl_account_balance", {"balance": total("period_balance")}, keep="account_name = 'COGS'",
-                local={"dim_date.year_num": "year_num", "dim_date.month_num": "month_num"},
-            ),
-        ),
+        legs=(ledger("COGS"),),
         values={"gl_cogs": "balance"}, default_by=("dim_date.year_num", "dim_date.month_num"),
         grain="month", synonyms=("ledger cost",), questions=("How does cost develop in the books?",),
         formula="SUM(period_balance) FROM gl_account_balance JOIN dim_gl_account JOIN dim_date",

@@ -9,15 +9,26 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.catalog import unique_ids
+from ledgerloom.catalog import Catalog, unique_ids
 from ledgerloom.metrics import distributor, sales
 from ledgerloom.metrics.spec import Metric
+from ledgerloom.sources.schemas import CATALOG
 
 ALL_METRICS: dict[tuple[str, str], Metric] = {
     (m.tenant, m.name): m for group in (sales.METRICS, distributor.METRICS) for m in group.values()
 }
 
 
+def check_reachable(metrics: Mapping[Any, Metric], catalog: Catalog) -> None:
+    """A metric may promise only dimensions that each of its legs reaches by the declared keys."""
+    broken = {m.id: found for m in metrics.values() if (found := m.unreachable(catalog))}
+    if broken:
+        raise ValueError(f"declared dimensions without a join path: {broken}")
+
+
+check_reachable(ALL_METRICS, CATALOG)
+
+
 def metric(name: str, tenant: str = "distributor") -> Metric:
     found = ALL_METRICS.get((tenant, name))
     if found is None:

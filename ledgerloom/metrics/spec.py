@@ -22,6 +22,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.catalog import Hop
 from ledgerloom.functions.dates import CALENDAR_ATTRIBUTES
 from ledgerloom.functions.labels import sentiment_label
 from ledgerloom.periods import Period
@@ -71,8 +72,14 @@ class Leg:
     # two-level: aggregate to this grain first, then ``outer`` over its rows
     per: tuple[str, ...] = ()
     outer: Mapping[str, Part] = field(default_factory=dict)
-    # dimension attributes the fact itself carries
+    # dimension attributes the fact itself carries, as expressions over its columns
     local: Mapping[str, str] = field(default_factory=dict)
+    # dimensions reached through a parent fact: table -> (own column, parent, its unique column)
+    borrow: Mapping[str, tuple[str, str, str]] = field(default_factory=dict)
+    # the parent's date, where ``dim_date`` is borrowed
+    borrowed_day: str | None = None
+    # the finer fact this one sums up, for dimensions and periods that the sums have lost
+    detail: Leg | None = None
     # a frame to use instead of the stored fact, with the fact's keys
     source: Callable[[Mapping[str, DataFrame]], DataFrame] | None = None
     # the same for a fact of states: what stood at the end of the period
@@ -89,6 +96,36 @@ def _matches(value: Column, wanted: Any) -> Column:
     return value.isin(list(wanted)) if isinstance(wanted, (list, tuple, set)) else value == F.lit(wanted)
 
 
+def leg_path(catalog: Any, tenant: str, leg: Leg, table: str) -> list[Hop]:
+    """The joins from a leg's fact to a dimension, through a parent fact where it is borrowed."""
+    if table not in leg.borrow:
+        return catalog.path(tenant, leg.fact, table)
+    key, parent, parent_key = leg.borrow[table]
+    onward = [] if table == "dim_date" else catalog.path(tenant, parent, table)
+    return [Hop(leg.fact, key, parent, parent_key), *onward]
+
+
+def reaches(catalog: Any, tenant: str, leg: Leg, attribute: str) -> bool:
+    """Whether a leg can be sliced by an attribute, by the declared keys alone."""
+    table, column = attribute.split(".")
+    if attribute in leg.local:
+        return True
+    if table == "dim_date":
+        return column in CALENDAR_ATTRIBUTES and (leg.day is not None or table in leg.borrow)
+    try:
+        leg_path(catalog, tenant, leg, table)
+    except ValueError:
+        return False
+    return column in [c.name for c in catalog.table(tenant, table).columns]
+
+
+def at_detail(catalog: Any, tenant: str, leg: Leg, attributes: Sequence[str], period: Period | None) -> Leg:
+    """The leg, or the leg over the finer fact where only that one knows what is asked."""
+    dated = leg.day is not None or "dim_date" in leg.borrow
+    enough = (period is None or dated) and all(reaches(catalog, tenant, leg, a) for a in attributes)
+    return leg if enough or leg.detail is None else leg.detail
+
+
 def aggregate_leg(
     wh: Any,
     leg: Leg,
@@ -99,13 +136,15 @@ def aggregate_leg(
 ) -> DataFrame:
     """The leg's parts at the grain ``by`` plus the ``extra`` columns of the fact."""
     where, extra = dict(where or {}), dict(extra or {})
+    leg = at_detail(wh.catalog, wh.tenant, leg, [*by, *where], period)
+    borrowed = leg.day is None and "dim_date" in leg.borrow
     if leg.as_of:
         frame = leg.as_of(wh, period)
     else:
         frame = leg.source(wh) if leg.source else wh[leg.fact]
     if leg.keep:
         frame = frame.where(F.expr(leg.keep))
-    if period is not None:
+    if period is not None and not borrowed:
         if leg.day is None:
             raise ValueError(f"{leg.fact} carries no date, so it cannot be limited to a period")
         frame = frame.where(period.on(F.col(leg.day)))
@@ -117,8 +156,8 @@ def aggregate_leg(
     for attribute in attributes:
         table, column = attribute.split(".")
         if attribute in leg.local:
-            on_fact[attribute] = F.col(leg.local[attribute])
-        elif table == "dim_date":
+            on_fact[attribute] = F.expr(leg.local[attribute])
+        elif table == "dim_date" and not borrowed:
             if leg.day is None:
                 raise ValueError(f"{leg.fact} carries no date, so it cannot be sliced by {attribute}")
             on_fact[attribute] = CALENDAR_ATTRIBUTES[column](F.col(leg.day))
@@ -128,7 +167,9 @@ def aggregate_leg(
         if attribute in where:
             frame = frame.where(_matches(value, where[attribute]))
 
-    paths = {table: wh.catalog.path(wh.tenant, leg.fact, table) for table in to_join}
+    if borrowed and period is not None:
+        to_join.setdefault("dim_date", [])
+    paths = {table: leg_path(wh.catalog, wh.tenant, leg, table) for table in to_join}
     keys = {f"__k_{path[0].left_key}": F.col(path[0].left_key) for path in paths.values()}
     per = {f"__p{i}": F.expr(p) for i, p in enumerate(leg.per)}
     local = {slot[a]: c for a, c in on_fact.items() if a in by}
@@ -139,7 +180,12 @@ def aggregate_leg(
     groups = {**local, **keys, **per, **extra}
     frame = _grouped(frame, [c.alias(n) for n, c in groups.items()], first)
     for table, path in paths.items():
-        frame = _join_path(wh, frame, path, {a.split(".")[1]: slot[a] for a in to_join[table]})
+        if borrowed and table == "dim_date":
+            frame = _join_path(wh, frame, path, {leg.borrowed_day: "__day"}, period and period.on(F.col(leg.borrowed_day)))
+            for attribute in to_join[table]:
+                frame = frame.withColumn(slot[attribute], CALENDAR_ATTRIBUTES[attribute.split(".")[1]](F.col("__day")))
+        else:
+            frame = _join_path(wh, frame, path, {a.split(".")[1]: slot[a] for a in to_join[table]})
     for attribute in (a for names in to_join.values() for a in names):
         if attribute in where:
             frame = frame.where(_matches(F.col(slot[attribute]), where[attribute]))
@@ -161,7 +207,10 @@ def _grouped(frame: DataFrame, keys: Sequence[Any], parts: Sequence[Column]) ->
     return frame.groupBy(*keys).agg(*parts) if parts else frame.select(*keys).distinct()
 
 
-def _join_path(wh: Any, frame: DataFrame, path: Sequence[Any], attributes: Mapping[str, str]) -> DataFrame:
+def _join_path(
+    wh: Any, frame: DataFrame, path: Sequence[Any], attributes: Mapping[str, str], only: Column | None = None
+) -> DataFrame:
+    """Join along a path and carry attributes of its end; ``only`` filters the end's rows."""
     key = f"__k_{path[0].left_key}"
     for i, hop in enumerate(path):
         last = i == len(path) - 1
@@ -170,7 +219,8 @@ def _join_path(wh: Any, frame: DataFrame, path: Sequence[Any], attributes: Mappi
             if last
             else [F.col(path[i + 1].left_key).alias(f"__n{i}")]
         )
-        right = wh[hop.right].select(F.col(hop.right_key).alias("__right"), *carried)
+        rows = wh[hop.right].where(only) if last and only is not None else wh[hop.right]
+        right = rows.select(F.col(hop.right_key).alias("__right"), *carried)
         frame = frame.join(right, F.col(key) == F.col("__right")).drop("__right")
         key = f"__n{i}"
     return frame
@@ -221,6 +271,16 @@ class Metric:
     def _counts(self) -> list[str]:
         return [n for leg in self.legs for n, p in (leg.outer if leg.per else leg.parts).items() if p.kind == "count"]
 
+    def unreachable(self, catalog: Any) -> list[str]:
+        """Declared dimensions that a leg cannot be sliced by."""
+        found = []
+        for leg in self.legs:
+            for attribute in self.dimensions:
+                finer = at_detail(catalog, self.tenant, leg, [attribute], None)
+                if not reaches(catalog, self.tenant, finer, attribute):
+                    found.append(attribute)
+        return found
+
     def check_dimensions(self, attributes: Sequence[str]) -> None:
         refused = [a for a in attributes if a not in self.dimensions]
         if refused:
@@ -265,7 +325,7 @@ class Metric:
 
         Both periods are read in one pass. Without a prior baseline the change is NULL.
         """
-        if self.custom or current.overlaps(prior):
+        if self.custom or current.overlaps(prior) or any(leg.borrowed_day or leg.detail for leg in self.legs):
             names = output_names(by)
             sides = [
                 self.compute(wh, by=by, period=p, where=where).select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from datetime import date
 from functools import reduce
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +88,11 @@ def inventory_ledger(purchases: DataFrame, shipments: DataFrame, items: DataFram
     return receipts.unionByName(issues)
 
 
-def post_journal(billed: DataFrame, day: str, amount: str, cost: str) -> DataFrame:
-    """Two balanced entries per billed line: receivable against revenue, cost against stock."""
+def post_journal(billed: DataFrame, day: str, amount: str, cost: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Two balanced entries per billed line: receivable against revenue, cost against stock.
+
+    The columns of ``carry``, such as the company, go with each entry.
+    """
     none = F.lit(0.0)
 
     def entry(account: str, debit: Column, credit: Column) -> Column:
@@ -105,7 +110,7 @@ def post_journal(billed: DataFrame, day: str, amount: str, cost: str) -> DataFra
         entry("COGS", goods, none),
         entry("Inventory", none, goods),
     )
-    return billed.select(F.col(day).alias("posting_date"), F.inline(entries))
+    return billed.select(F.col(day).alias("posting_date"), *carry, F.inline(entries))
 
 
 def roll_gl_balances(journal: DataFrame, reset: str = "year") -> DataFrame:

@@ -64,7 +64,11 @@ CATALOG = Catalog.of(
     [
         _calendar(_D),
         _table(_D, "dimension", "dim_subsidiary", "Legal entities.", pk("subsidiary_key"), Column("subsidiary_name")),
-        _table(_D, "dimension", "dim_warehouse", "Stocking sites.", pk("warehouse_key"), Column("warehouse_name")),
+        _table(
+            _D, "dimension", "dim_warehouse", "Stocking sites.",
+            pk("warehouse_key"), Column("warehouse_name"),
+            Column("region"),
+        ),
         _table(
             _D, "dimension", "dim_item", "Stocked items with category and cost.",
             pk("item_key"), Column("item_name"), Column("category"), Column("subcategory"),
@@ -131,7 +135,7 @@ CATALOG = Catalog.of(
         ),
         _table(
             _D, "fact", "gl_journal_line", "Ledger entries.",
-            day("posting_date"), Column("account_name"), num("net_amount"),
+            day("posting_date"), Column("account_name"), COMPANY, num("net_amount"),
         ),
         _table(
             _D, "fact", "gl_account_balance", "Monthly balance per account.",
@@ -141,13 +145,24 @@ CATALOG = Catalog.of(
         _table(
             _F, "dimension", "dim_customer", "Customers with segment, region and terms.",
             pk("customer_id"), Column("customer_name"), Column("customer_segment"), Column("region"), whole("terms_days"),
+            Column("industry"),
+        ),
+        _table(
+            _F, "dimension", "dim_employee", "Sales staff; leaders have no manager.",
+            pk("employee_id", "INTEGER"), Column("employee_name"), Column("region"),
+            fk("manager_id", "dim_employee.employee_id", "INTEGER"),
+        ),
+        _table(
+            _F, "dimension", "dim_location", "Places of sale.",
+            pk("location_id", "INTEGER"), Column("location_name"), Column("region"),
         ),
         _table(
             _F, "fact", "fact_sales_order", "Sales orders.",
             pk("order_id"), day("order_date"), fk("customer_id", "dim_customer.customer_id"),
             one_of("order_status", ORDER_STATUSES), num("total_amount"), Column("line_count", "BIGINT"),
             Column("primary_item_category"), num("effective_unit_cost"),
-            num("effective_gross_margin_pct"),
+            num("effective_gross_margin_pct"), fk("employee_id", "dim_employee.employee_id", "INTEGER"),
+            fk("location_id", "dim_location.location_id", "INTEGER"),
         ),
         _table(
             _F, "fact", "fact_invoice", "Customer invoices.",

@@ -29,9 +29,15 @@ from ledgerloom.sources.schemas import CATALOG
 
 # inline rows: Catalyst knows how small they are
 WAREHOUSES = (
-    "SELECT CAST(k AS BIGINT) AS warehouse_key, concat('Warehouse ', k) AS warehouse_name FROM VALUES (1), (2), (3), (4) AS t(k)"
+    "SELECT CAST(k AS BIGINT) AS warehouse_key, concat('Warehouse ', k) AS warehouse_name, region "
+    "FROM VALUES (1, 'North'), (2, 'East'), (3, 'South'), (4, 'West') AS t(k, region)"
 )
 SUBSIDIARIES = "SELECT CAST(k AS BIGINT) AS subsidiary_key, concat('Subsidiary ', k) AS subsidiary_name FROM VALUES (1), (2), (3) AS t(k)"
+EMPLOYEES = (
+    "SELECT CAST(id AS INT) AS employee_id, concat('Employee ', id) AS employee_name, CAST(id % 5 AS INT) AS place, "
+    "CASE WHEN id > 3 THEN CAST(1 + id % 3 AS INT) END AS manager_id FROM range(1, 31)"
+)
+INDUSTRIES = ("Retail", "Hospitality", "Healthcare", "Education", "Offices")
 
 # declared, so that opening a table reads no file footer
 RAW_SCHEMAS = {
@@ -313,8 +319,8 @@ def _calendar(wh: Warehouse) -> DataFrame:
 
 
 def _journal(wh: Warehouse) -> DataFrame:
-    posted = derive.post_journal(wh["invoice_terms"], "invoice_date", "invoice_amount", "invoice_cost")
-    return posted.select("posting_date", "account_name", "net_amount")
+    posted = derive.post_journal(wh["invoice_terms"], "invoice_date", "invoice_amount", "invoice_cost", ["subsidiary_key"])
+    return posted.select("posting_date", "account_name", "subsidiary_key", "net_amount")
 
 
 def distributor(spark: SparkSession, folder: str) -> Warehouse:
@@ -376,9 +382,28 @@ def _sales_order(wh: Warehouse) -> DataFrame:
         "primary_item_category",
         (F.col("o_totalprice") * 0.55 / F.coalesce("line_count", F.lit(1))).alias("effective_unit_cost"),
         (45.0 + F.col("o_orderkey") % 5).alias("effective_gross_margin_pct"),
+        (1 + F.col("o_orderkey") % 30).cast("int").alias("employee_id"),
+        (F.col("o_orderkey") % 25).cast("int").alias("location_id"),
+    )
+
+
+def _dim_employee(wh: Warehouse) -> DataFrame:
+    """Thirty people over the regions; the first three lead the others."""
+    people = wh.spark.sql(EMPLOYEES)
+    place = wh["region"].select(F.col("r_regionkey").alias("place"), F.col("r_name").alias("region"))
+    return people.join(F.broadcast(place), "place").select("employee_id", "employee_name", "region", "manager_id")
+
+
+def _dim_location(wh: Warehouse) -> DataFrame:
+    return wh["nation"].join(F.broadcast(wh["region"]), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").alias("location_id"), F.col("n_name").alias("location_name"), F.col("r_name").alias("region")
     )
 
 
+def _industry(customer_key: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, INDUSTRIES)), (1 + customer_key % len(INDUSTRIES)).cast("int"))
+
+
 def _fact_invoice(wh: Warehouse) -> DataFrame:
     terms = wh["dim_customer"].select("customer_id", "terms_days")
     lag = (1 + F.col("order_id") % 7).cast("int")
@@ -414,7 +439,10 @@ def furniture(spark: SparkSession, folder: str) -> Warehouse:
                 F.col("segment").alias("customer_segment"),
                 "region",
                 F.col("credit_days").cast("int").alias("terms_days"),
+                _industry(F.col("customer_key")).alias("industry"),
             ),
+            "dim_employee": _dim_employee,
+            "dim_location": _dim_location,
             "fact_sales_order": _sales_order,
             "fact_invoice": _fact_invoice,
             "fact_payment": _fact_payment,

@@ -85,6 +85,30 @@ def queries() -> dict[str, Query]:
         "slow_stock_by_category": _sliced("slow_moving_inventory_value", by=["dim_item.category"]),
         "cash_cycle_by_year": _sliced("cash_conversion_cycle_days", by=["dim_date.year_num"]),
         "lateness_impact_customer_date": _sliced("supplier_lateness_cash_impact", method="customer_date"),
+        "revenue_by_warehouse_region": _sliced("total_revenue", by=["dim_warehouse.region"]),
+        "return_rate_by_quarter": _sliced("return_rate_pct", by=["dim_date.year_num", "dim_date.quarter_num"]),
+        "return_rate_of_category_in_quarter": _sliced(
+            "return_rate_pct", by=["dim_item.category"], period=Period.quarter(1999, 3), where={"dim_date.year_num": 1999}
+        ),
+        "return_rate_yoy": _compared(
+            "return_rate_pct", Period.year(2000), Period.year(1999), by=["dim_customer.segment"]
+        ),
+        "gl_revenue_by_fiscal_period": _sliced("gl_revenue_by_period", by=["dim_date.fiscal_period"]),
+        "gl_revenue_by_company": _sliced(
+            "gl_revenue_by_period", by=["dim_subsidiary.subsidiary_name", "dim_date.year_num"], period=Period.year(2000)
+        ),
+        "gl_cogs_by_fiscal_period": _sliced("gl_cogs_trend", by=["dim_date.fiscal_period"]),
+        "gl_cogs_by_company": _sliced("gl_cogs_trend", by=["dim_subsidiary.subsidiary_name", "dim_date.fiscal_period"]),
+        "lateness_impact_by_warehouse": _sliced("supplier_lateness_cash_impact", by=["dim_warehouse.warehouse_name"]),
+        **{
+            f"furniture_{short}_by_industry": _sliced(name, "furniture", by=["dim_customer.industry"])
+            for short, name in {
+                "revenue": "total_revenue", "order_value": "average_order_value", "customers": "active_customer_count",
+                "on_time_payment": "on_time_payment_rate", "days_to_pay": "average_days_to_pay",
+            }.items()
+        },
+        "furniture_revenue_by_place": _sliced("total_revenue", "furniture", by=["dim_location.region", "dim_date.year"]),
+        "furniture_orders_by_employee": _sliced("order_volume", "furniture", by=["dim_employee.employee_id", "dim_employee.region"]),
         "furniture_revenue_by_category_2000": _sliced(
             "total_revenue", "furniture", by=["dim_item.category"], period=Period.year(2000)
         ),

@@ -21,7 +21,7 @@ def _balances(keys: str) -> str:
 
 def sql() -> dict[str, str]:
     count = lambda t, shown="": f"SELECT '{shown or t}' AS table_name, COUNT(*) AS row_count FROM {t}"
-    furniture = [count("dim_date"), count("furniture_customer", "dim_customer"), *[count(t) for t in ("fact_sales_order", "fact_invoice", "fact_payment")]]
+    furniture = [count("dim_date"), count("furniture_customer", "dim_customer"), *[count(t) for t in ("dim_employee", "dim_location", "fact_sales_order", "fact_invoice", "fact_payment")]]
     distributor = [
         count(t) for t in (
             "dim_date", "dim_subsidiary", "dim_warehouse", "dim_item", "dim_customer", "dim_supplier", "item_supplier", "o2c_sales_order_line",

@@ -37,7 +37,7 @@ p2p_vendor_bill: supplier_key subsidiary_key
 p2p_bill_payment: supplier_key subsidiary_key payment_date
 inv_balance_snapshot: snapshot_date item_key warehouse_key subsidiary_key
 inv_transaction: item_key supplier_key subsidiary_key
-gl_journal_line: posting_date"""
+gl_journal_line: posting_date subsidiary_key"""
 TARGETS = {
     "item_key": "dim_item", "supplier_key": "dim_supplier", "customer_key": "dim_customer", "warehouse_key": "dim_warehouse",
     "subsidiary_key": "dim_subsidiary", "so_line_key": "o2c_sales_order_line", "invoice_key": "ar_invoice",
@@ -118,6 +118,9 @@ def sql() -> dict[str, str]:
         "foreign_keys_furniture": union(
             orphan("fact_sales_order", "order_date", "dim_date", "full_date"),
             orphan("fact_sales_order", "customer_id", "furniture_customer", "customer_id", target="dim_customer"),
+            orphan("fact_sales_order", "employee_id", "dim_employee", "employee_id"),
+            orphan("fact_sales_order", "location_id", "dim_location", "location_id"),
+            orphan("dim_employee", "manager_id", "dim_employee", "employee_id"),
             orphan("fact_invoice", "order_id", "fact_sales_order", "order_id"),
             orphan("fact_invoice", "invoice_date", "dim_date", "full_date"),
             orphan("fact_invoice", "due_date", "dim_date", "full_date"),
@@ -135,7 +138,8 @@ def sql() -> dict[str, str]:
         ]),
         "primary_keys_furniture": union(
             *_pk("dim_date", "date_key"), *_pk("furniture_customer", "customer_id", "dim_customer"), *_pk("fact_sales_order", "order_id"),
-            *_pk("fact_invoice", "invoice_id"), *_pk("fact_payment", "payment_id"),
+            *_pk("fact_invoice", "invoice_id"), *_pk("fact_payment", "payment_id"), *_pk("dim_employee", "employee_id"),
+            *_pk("dim_location", "location_id"),
         ),
         "accepted_values_distributor": union(
             _values("dim_item", "lead_time_class", "Short|Medium|Long"), _values("dim_supplier", "reliability_tier", "A|B|C|D"),

@@ -21,7 +21,8 @@ SELECT p_partkey AS item_key, p_name AS item_name, p_type AS category, p_brand A
   CASE p_partkey % 3 WHEN 0 THEN 'Short' WHEN 1 THEN 'Medium' ELSE 'Long' END AS lead_time_class
 FROM part"""
 VIEWS["dim_warehouse"] = """
-SELECT * FROM (VALUES (1, 'Warehouse 1'), (2, 'Warehouse 2'), (3, 'Warehouse 3'), (4, 'Warehouse 4')) v(warehouse_key, warehouse_name)"""
+SELECT * FROM (VALUES (1, 'Warehouse 1', 'North'), (2, 'Warehouse 2', 'East'), (3, 'Warehouse 3', 'South'), (4, 'Warehouse 4', 'West'))
+  v(warehouse_key, warehouse_name, region)"""
 VIEWS["dim_subsidiary"] = """
 SELECT * FROM (VALUES (1, 'Subsidiary 1'), (2, 'Subsidiary 2'), (3, 'Subsidiary 3')) v(subsidiary_key, subsidiary_name)"""
 VIEWS["dim_date"] = """
@@ -92,10 +93,10 @@ FROM p2p_purchase_order_line
 UNION ALL SELECT f.ship_date, f.item_key, NULL, f.subsidiary_key, 'Issue', -f.qty_shipped, -f.qty_shipped * i.unit_cost
 FROM o2c_fulfillment_line f JOIN dim_item i ON f.item_key = i.item_key"""
 VIEWS["gl_journal_line"] = """
-SELECT invoice_date AS posting_date, 'Accounts Receivable' AS account_name, invoice_amount AS net_amount FROM ar_invoice
-UNION ALL SELECT invoice_date, 'Revenue', -invoice_amount FROM ar_invoice
-UNION ALL SELECT invoice_date, 'COGS', invoice_cost FROM ar_invoice
-UNION ALL SELECT invoice_date, 'Inventory', -invoice_cost FROM ar_invoice"""
+SELECT invoice_date AS posting_date, 'Accounts Receivable' AS account_name, subsidiary_key, invoice_amount AS net_amount FROM ar_invoice
+UNION ALL SELECT invoice_date, 'Revenue', subsidiary_key, -invoice_amount FROM ar_invoice
+UNION ALL SELECT invoice_date, 'COGS', subsidiary_key, invoice_cost FROM ar_invoice
+UNION ALL SELECT invoice_date, 'Inventory', subsidiary_key, -invoice_cost FROM ar_invoice"""
 VIEWS["gl_account_balance"] = """
 SELECT year_num, month_num, account_name, period_balance,
   SUM(period_balance) OVER (PARTITION BY account_name ORDER BY year_num, month_num ROWS UNBOUNDED PRECEDING) AS ytd_balance
@@ -107,10 +108,17 @@ SELECT o.o_orderkey AS order_id, CAST(o.o_orderdate AS DATE) AS order_date, o.o_
        WHEN o.o_orderkey % 3 = 0 THEN 'Cancelled' ELSE 'Pending' END AS order_status,
   o.o_totalprice AS total_amount, COALESCE(x.line_count, 0) AS line_count, i.category AS primary_item_category,
   o.o_totalprice * 0.55E0 / COALESCE(x.line_count, 1) AS effective_unit_cost,
-  45E0 + o.o_orderkey % 5 AS effective_gross_margin_pct
+  45E0 + o.o_orderkey % 5 AS effective_gross_margin_pct, 1 + o.o_orderkey % 30 AS employee_id, o.o_orderkey % 25 AS location_id
 FROM orders o LEFT JOIN order_lines x ON o.o_orderkey = x.l_orderkey LEFT JOIN dim_item i ON COALESCE(x.item_key, 1) = i.item_key"""
 VIEWS["furniture_customer"] = """
-SELECT customer_key AS customer_id, customer_name, segment AS customer_segment, region, credit_days AS terms_days FROM dim_customer"""
+SELECT customer_key AS customer_id, customer_name, segment AS customer_segment, region, credit_days AS terms_days,
+  CASE customer_key % 5 WHEN 0 THEN 'Retail' WHEN 1 THEN 'Hospitality' WHEN 2 THEN 'Healthcare' WHEN 3 THEN 'Education' ELSE 'Offices' END AS industry
+FROM dim_customer"""
+VIEWS["dim_employee"] = """
+SELECT k AS employee_id, 'Employee ' || k AS employee_name, r_name AS region, CASE WHEN k > 3 THEN 1 + k % 3 END AS manager_id
+FROM generate_series(1, 30) g(k) JOIN region ON r_regionkey = k % 5"""
+VIEWS["dim_location"] = """
+SELECT n_nationkey AS location_id, n_name AS location_name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey"""
 VIEWS["fact_invoice"] = """
 SELECT o.order_id AS invoice_id, o.order_id, o.order_date + CAST(1 + o.order_id % 7 AS INT) AS invoice_date,
   o.order_date + CAST(1 + o.order_id % 7 AS INT) + CAST(COALESCE(c.terms_days, 30) AS INT) AS due_date,

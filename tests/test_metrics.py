@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.metrics.registry import metric, validate_metrics
+from ledgerloom.metrics.registry import ALL_METRICS, metric, validate_metrics
 from ledgerloom.periods import Period
 from ledgerloom.sources.schemas import CATALOG
 from ledgerloom.sources.warehouse import Warehouse
@@ -182,3 +182,36 @@ def test_period_arithmetic():
 def test_period_on_integer_keys(spark):
     keys = spark.createDataFrame([(20231231,), (20240101,), (20240331,), (20240401,)], "k int")
     assert [r[0] for r in keys.where(Period.quarter(2024, 1).on_key(F.col("k"))).collect()] == [20240101, 20240331]
+
+
+@pytest.mark.parametrize("tenant", ["distributor", "furniture"])
+def test_every_declared_dimension_is_planned(tenant, spark, sf_dir):
+    from ledgerloom.sources import warehouse
+    from ledgerloom.workload.metric_queries import ARGUMENTS
+
+    wh = getattr(warehouse, tenant)(spark, sf_dir)
+    for (owner, name), spec in ALL_METRICS.items():
+        if owner == tenant:
+            for attribute in spec.dimensions:
+                assert spec.compute(wh, by=(attribute,), **ARGUMENTS.get((owner, name), {})).columns
+
+
+def test_a_promise_without_a_path_is_refused():
+    from dataclasses import replace
+
+    from ledgerloom.metrics.registry import check_reachable
+    from ledgerloom.sources.schemas import CATALOG
+
+    spec = replace(metric("order_count"), dimensions=("dim_supplier.supplier_name", "dim_customer.nothing"))
+    with pytest.raises(ValueError, match="dim_customer.nothing"):
+        check_reachable({1: spec}, CATALOG)
+
+
+def test_a_borrowed_period_reaches_the_scan_of_the_parent(spark, sf_dir):
+    from ledgerloom.periods import Period
+    from ledgerloom.sources.warehouse import distributor
+
+    plan = metric("return_rate_pct").compute(distributor(spark, sf_dir), period=Period.year(1999))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in text.splitlines() if "orders.parquet" in line]
+    assert len(scans) == 2 and all("1999" in line.split("PushedFilters")[1] for line in scans)
