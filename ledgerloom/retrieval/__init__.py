@@ -1,0 +1,10 @@
+"""Search documents, rankers and their evaluation.
+
+Functions that run inside tasks travel with them, so executors need not have the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

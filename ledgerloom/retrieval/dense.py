@@ -1,48 +1,49 @@
 """Exact cosine top-k of a batch of query vectors over a distributed corpus.
 
-The corpus stays where Spark has it. Each task multiplies its Arrow batches with a block
-of queries and keeps k rows per query, so what is shuffled is ``tasks x queries x k`` rows,
-never all pairs. Query vectors are held on the driver one block at a time; more queries
-make more blocks.
+Vectors of the corpus are packed into blocks and those of the queries into tiles, both as rows of
+a table; a task that has a block and a tile multiplies them and keeps k rows for each query. The
+corpus is read once, whatever the number of queries, and no vector passes the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import cosine
-from ledgerloom.operators.ranking import top_n_per_group
+from ledgerloom.retrieval.tiles import best_pairs, packed
+from ledgerloom.session import bounded_batches
 
-QUERY_BLOCK = 1024
+QUERY_TILE = 1024
+CORPUS_BLOCK = 2048
 
 
-def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
+def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_TILE) -> DataFrame:
     """``query_id, rank, id, score``.
 
     ``corpus`` is ``(id, tenant, vector)``, ``queries`` ``(query_id, tenant, vector)``; a
     query sees its own tenant only. Ids are of any type that has an order. A document or query
-    without a vector is not ranked. Scores are compared at six decimals, then by id.
+    without a vector is not ranked. Scores are compared at six decimals, then by id. Planning
+    runs no job.
     """
-    corpus = corpus.where(F.col("vector").isNotNull())
-    queries = queries.where(F.col("vector").isNotNull())
-    id_type = corpus.schema["id"].dataType.simpleString()
-    n_blocks = max(1, -(-queries.count() // block))
-    blocks = []
-    for i in range(n_blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i) if n_blocks > 1 else queries
-        held = part.select("query_id", "tenant", "vector").collect()
-        if held:
-            blocks.append(_score_block(corpus, held, k, queries.schema["query_id"].dataType.simpleString(), id_type))
-    if not blocks:
-        return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(id_type).alias("id"), F.lit(0.0).alias("score")).limit(0)
-    candidates = reduce(DataFrame.unionByName, blocks)
-    return top_n_per_group(candidates, ["query_id"], k, F.col("score").desc(), F.col("id")).select("query_id", "rank", "id", "score")
+    bounded_batches(corpus.sparkSession)
+    documents = corpus.where(F.col("vector").isNotNull()).select("id", "tenant", "vector")
+    asked = queries.where(F.col("vector").isNotNull()).select(F.col("query_id").alias("id"), "tenant", "vector")
+    return best_pairs(_packed(documents, CORPUS_BLOCK), _packed(asked, block), k, _cosines)
+
+
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    def pack(held: list) -> dict:
+        vectors = _unit(np.array([r["vector"] for r in held], np.float64))
+        return {"ids": [r["id"] for r in held], "width": vectors.shape[1], "vectors": vectors.tobytes()}
+
+    return packed(rows, size, pack, f"ids array<{rows.schema['id'].dataType.simpleString()}>, width int, vectors binary")
+
+
+def _cosines(block: dict, tile: dict) -> np.ndarray:
+    sides = [np.frombuffer(side["vectors"]).reshape(len(side["ids"]), side["width"]) for side in (block, tile)]
+    return np.round(sides[0] @ sides[1].T, 6)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -51,44 +52,6 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 1e-9)
 
 
-def _score_block(corpus: DataFrame, held: list, k: int, query_type: str, id_type: str) -> DataFrame:
-    query_ids = [r["query_id"] for r in held]
-    tenants = np.array([r["tenant"] for r in held], dtype=object)
-    wanted = _unit(np.array([r["vector"] for r in held], dtype=np.float64))
-
-    def best_of(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Positions of the k best by (score, id)."""
-        if len(scores) > k:
-            edge = np.partition(scores, -k)[-k]
-            near = np.flatnonzero(scores >= edge)
-        else:
-            near = np.arange(len(scores))
-        near = near[np.isfinite(scores[near])]
-        near = near[np.argsort(ids[near], kind="stable")]
-        return near[np.argsort(-scores[near], kind="stable")][:k]
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=object)) for _ in query_ids]
-        for batch in batches:
-            if batch.empty:
-                continue
-            vectors = _unit(np.array(batch["vector"].tolist(), dtype=np.float64))
-            ids = batch["id"].to_numpy(dtype=object)
-            owners = batch["tenant"].to_numpy(dtype=object)
-            scores = np.round(vectors @ wanted.T, 6)
-            for q in range(len(query_ids)):
-                column = np.where(owners == tenants[q], scores[:, q], -np.inf)
-                all_scores = np.concatenate([kept[q][0], column])
-                all_ids = np.concatenate([kept[q][1], ids])
-                best = best_of(all_scores, all_ids)
-                kept[q] = (all_scores[best], all_ids[best])
-        rows = [(query_ids[q], i, s) for q, (ss, ids) in enumerate(kept) for s, i in zip(ss, ids)]
-        if rows:
-            yield pd.DataFrame(rows, columns=["query_id", "id", "score"])
-
-    return corpus.select("id", "tenant", "vector").mapInPandas(score, f"query_id {query_type}, id {id_type}, score double")
-
-
 def pair_cosine(pairs: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """Cosine of given ``(query_id, id)`` pairs."""
     documents = corpus.select("id", F.col("vector").alias("document_vector"))

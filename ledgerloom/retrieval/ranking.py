@@ -11,6 +11,7 @@ from ledgerloom.functions.text import sigmoid
 from ledgerloom.operators.ranking import top_n_per_group
 from ledgerloom.retrieval.dense import dense_top_k, pair_cosine
 from ledgerloom.retrieval.lexical import bm25
+from ledgerloom.session import kept
 
 RRF_K = 60
 FUSE_DEPTH = 10
@@ -74,6 +75,23 @@ def retrieve(
     return scored.select("query_id", "rank", "id", F.round(F.greatest(F.lit(0.0), F.col("score")), 4).alias("score"))
 
 
+def retrieve_all(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """``ranker, query_id, rank, id, score`` of the three rankers, as ``retrieve`` gives them.
+
+    Each corpus is ranked once: the fused ranking follows from the other two, and all three are
+    kept as one small table, from which truth, bands and summaries are derived.
+    """
+    asked = queries.where(F.trim("text") != "")
+    depth = max(FUSE_DEPTH, k)
+    lexical = bm25(docs, asked, depth).select(F.lit("bm25").alias("ranker"), "query_id", "rank", "id", F.col("normalized").alias("score"))
+    dense = dense_top_k(docs, asked, depth).select(F.lit("dense").alias("ranker"), "query_id", "rank", "id", "score")
+    ranked = kept(lexical.unionByName(dense))
+    fused = fuse(ranked.where("ranker = 'dense'"), ranked.where("ranker = 'bm25'"), k)
+    scored = pair_cosine(fused, docs, asked).select(F.lit("rrf").alias("ranker"), "query_id", "rank", "id", "score")
+    every = ranked.where(F.col("rank") <= k).unionByName(scored)
+    return kept(every.withColumn("score", F.round(F.greatest(F.lit(0.0), F.col("score")), 4)))
+
+
 def rerank(results: DataFrame, pair_scores: DataFrame, k: int = 5, depth: int = 10) -> DataFrame:
     """Order the top ``depth`` by a supplied ``(query_id, id, logit)`` and keep k; score is its sigmoid."""
     scored = results.where(F.col("rank") <= depth).select("query_id", "id").join(pair_scores, ["query_id", "id"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Run-time settings: they can be set on a session somebody else built.
@@ -38,6 +39,25 @@ def build_session(app_name: str = "ledgerloom", master: str | None = None, **ext
     return builder.getOrCreate()
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the batches that tasks hand to Python, unless the session has a bound."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(8 << 20))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A frame that is expensive to make and read more than once.
+
+    It is written to ``spark.checkpoint.dir`` where the session names one, and else kept on the
+    disks of the executors, which make lost parts again.
+    """
+    once = computed_once(df)
+    return df.persist(StorageLevel.DISK_ONLY) if once is df else once
+
+
 def computed_once(df: DataFrame) -> DataFrame:
     """A frame that several branches of a plan read, computed once where the cluster allows.
 

@@ -78,12 +78,7 @@ def vocabulary_weights(spark: Any, t: Any) -> DataFrame:
 
 
 def all_rankers(t: Any) -> DataFrame:
-    docs, asked = both_documents(t), both_queries(t)
-    parts = [
-        r.retrieve(docs, asked, 5, name).select(F.lit(name).alias("ranker"), "query_id", "rank", "id", "score")
-        for name in ("bm25", "dense", "rrf")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return r.retrieve_all(both_documents(t), both_queries(t), 5)
 
 
 def reranked(spark: Any, t: Any) -> DataFrame:

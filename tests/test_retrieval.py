@@ -179,3 +179,51 @@ def test_refusals_are_counted(spark):
     overall = rows["all"]
     assert (overall["questions"], overall["correct_refusals"], overall["high_confidence"], overall["mean_millis"]) == (3, 1, 1, 6.0)
     assert overall["top1_accuracy"] == pytest.approx(100 / 3) and rows["HARD"]["top1_accuracy"] == 100.0
+
+
+def test_ten_thousand_queries_are_planned_without_a_job(spark):
+    draw = np.random.default_rng(4)
+    corpus, asked = draw.integers(-3, 4, (300, 6)).astype(float), draw.integers(-3, 4, (10_000, 6)).astype(float)
+    docs = spark.createDataFrame([(f"d{i:03}", "a" if i % 3 else "b", v.tolist()) for i, v in enumerate(corpus)], "id string, tenant string, vector array<double>")
+    queries = spark.createDataFrame([(i, "a" if i % 2 else "b", v.tolist()) for i, v in enumerate(asked)], "query_id long, tenant string, vector array<double>")
+    context = spark.sparkContext
+    context.setJobGroup("planning", "planning")
+    found = dense_top_k(docs, queries, 3)
+    assert list(context.statusTracker().getJobIdsForGroup("planning")) == []
+    context.setJobGroup("other", "other")
+    rows = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        rows.setdefault(r.query_id, []).append(r.id)
+    unit = lambda x: np.divide(x, (n := np.linalg.norm(x, axis=1, keepdims=True)), out=np.zeros_like(x), where=n > 1e-9)
+    scores = np.round(unit(asked) @ unit(corpus).T, 6)
+    for q in range(0, 10_000, 37):
+        own = [i for i in range(300) if bool(i % 3) == bool(q % 2)]
+        assert rows[q] == [f"d{i:03}" for i in sorted(own, key=lambda i: (-scores[q, i], i))[:3]]
+    assert len(rows) == 10_000
+
+
+def test_all_rankers_rank_each_corpus_once(spark, monkeypatch):
+    calls = []
+    for name in ("bm25", "dense_top_k"):
+        monkeypatch.setattr(r, name, lambda *a, f=getattr(r, name), n=name: calls.append(n) or f(*a))
+    docs = spark.createDataFrame(
+        [(i, "a", f"word{i % 3} other{i}", [1.0, float(i)]) for i in range(30)] + [(99, "a", None, None)], "id long, tenant string, text string, vector array<double>"
+    )
+    asked = spark.createDataFrame([(1, "a", "word1 other4", [1.0, 4.0]), (2, "a", " ", [1.0, 1.0])], "query_id long, tenant string, text string, vector array<double>")
+    rows = r.retrieve_all(docs, asked, 4).collect()
+    assert sorted(calls) == ["bm25", "dense_top_k"]
+    for name in ("bm25", "dense", "rrf"):
+        one = [tuple(x) for x in r.retrieve(docs, asked, 4, name).collect()]
+        assert sorted(one) == sorted((x.query_id, x["rank"], x.id, x.score) for x in rows if x.ranker == name)
+
+
+def test_bm25_moves_only_the_best_of_a_block(spark):
+    """One word in every document: what is shuffled is packed blocks and k rows a query, not pairs."""
+    docs = spark.range(3000).selectExpr("id", "'a' AS tenant", "concat('common word', id % 7) AS text")
+    asked = spark.range(200).selectExpr("id AS query_id", "'a' AS tenant", "concat('common word', id % 9) AS text")
+    found = bm25(docs, asked, 2)
+    rows = found.collect()
+    assert len(rows) == 400 and all(x.id == x.query_id % 9 + 7 * (x["rank"] - 1) for x in rows if x.query_id % 9 < 7)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    joined = text[text.index("MapInArrow") :]
+    assert "WindowGroupLimit" in text and not re.search(r"(Sort|Hash)Aggregate\(keys=\[query_id#\d+L?, id#", joined)
