@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ledgerloom.catalog import Hop
 from ledgerloom.functions.dates import CALENDAR_ATTRIBUTES
 from ledgerloom.functions.labels import sentiment_label
-from ledgerloom.periods import Period
+from ledgerloom.periods import Period, month_column
 
 Where = Mapping[str, Any]
 
@@ -148,6 +148,8 @@ def aggregate_leg(
         if leg.day is None:
             raise ValueError(f"{leg.fact} carries no date, so it cannot be limited to a period")
         frame = frame.where(period.on(F.col(leg.day)))
+        if month_column(leg.day) in frame.columns:
+            frame = frame.where(period.on_month(F.col(month_column(leg.day))))
 
     attributes = list(dict.fromkeys([*by, *where]))
     slot = {attribute: f"__a{i}" for i, attribute in enumerate(attributes)}

@@ -296,6 +296,23 @@ def isolated(results: DataFrame, id_column: str, tenant: str, check_id: str = "i
     return _check(results.agg(foreign.alias("n")), check_id, f"ids outside {tenant}", "0", F.col("n"), F.col("n") == 0)
 
 
+def tenant_probe(results: DataFrame, queries: DataFrame, owners: DataFrame, check_id: str = "isolation") -> DataFrame:
+    """A check for each tenant: its queries found something, and nothing of another tenant.
+
+    ``results`` is ``(query_id, id)``, ``queries`` ``(query_id, tenant)``, ``owners`` ``(id, tenant)``.
+    """
+    found = results.select("query_id", "id").join(owners.withColumnRenamed("tenant", "owner"), "id")
+    per_query = found.groupBy("query_id").agg(F.collect_set("owner").alias("owners"))
+    seen = queries.join(per_query, "query_id", "left").groupBy("tenant").agg(
+        F.count("owners").alias("answered"),
+        F.count(F.when(F.size(F.array_remove("owners", F.col("tenant"))) > 0, 1)).alias("n"),
+    )
+    return _check(
+        seen, F.concat(F.lit(f"{check_id}:"), "tenant"), "queries that reach another tenant", "0", F.col("n"),
+        (F.col("n") == 0) & (F.col("answered") > 0),
+    )
+
+
 def parity(left: DataFrame, right: DataFrame, sums: Mapping[str, Column], check_id: str, digits: int = 2) -> DataFrame:
     """Row count and totals of two copies agree."""
     aggregates = [F.count(F.lit(1)).alias("rows"), *[F.round(F.sum(c), digits).alias(n) for n, c in sums.items()]]

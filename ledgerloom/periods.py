@@ -18,6 +18,11 @@ def _month_start(year: int, month_index: int) -> date:
     return date(year + month_index // 12, month_index % 12 + 1, 1)
 
 
+def month_column(day: str) -> str:
+    """The column by which a table is laid out whose rows belong to a day."""
+    return f"{day}_month"
+
+
 @dataclass(frozen=True)
 class Period:
     start: date
@@ -58,6 +63,10 @@ class Period:
     def overlaps(self, other: Period) -> bool:
         return self.start < other.end and other.start < self.end
 
+    def on_month(self, month: Column) -> Column:
+        """Over first days of months: those that the period touches."""
+        return (month >= F.lit(self.start.replace(day=1))) & (month < F.lit(self.end))
+
     def on(self, day: Column) -> Column:
         return (day >= F.lit(self.start)) & (day < F.lit(self.end))
 

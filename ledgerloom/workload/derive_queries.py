@@ -19,7 +19,7 @@ CALENDAR_SHOWN = [
     "date_key", "full_date", "day_of_week", "day_of_month", "week_of_year", "month_num", "month_name", "quarter_num",
     "fiscal_period", "year_num", "is_month_end", "is_weekend",
 ]
-FURNITURE_TABLES = ["dim_date", "dim_customer", "fact_sales_order", "fact_invoice", "fact_payment"]
+FURNITURE_TABLES = ["dim_date", "dim_customer", "dim_employee", "dim_location", "fact_sales_order", "fact_invoice", "fact_payment"]
 
 
 def promise_dates(wh: Any) -> DataFrame:

@@ -13,7 +13,9 @@ from ledgerloom.metrics.registry import metric
 from ledgerloom.operators import quality as q
 from ledgerloom.periods import Period
 from ledgerloom.plans import analyses as a
-from ledgerloom.workload.common import Query, on_distributor, on_furniture
+from ledgerloom.retrieval.ranking import retrieve
+from ledgerloom.workload.common import Query, on_distributor, on_furniture, on_raw
+from ledgerloom.workload.retrieval_queries import documents, text_queries
 
 # expected sizes at the smallest checked scale
 EXPECTED_ROWS = {
@@ -106,6 +108,16 @@ def isolation(wh: Any) -> DataFrame:
     )
 
 
+def planted_twins(spark: Any, t: Any) -> DataFrame:
+    """Every document twice, under two tenants: each asks its questions and must find its own copies only."""
+    tenants = F.explode(F.array(F.col("tenant"), F.concat(F.lit("twin-"), "tenant")))
+    docs = documents(t).where("tenant is not null").select("id", "text", tenants.alias("tenant"))
+    docs = docs.withColumn("id", F.concat_ws(":", "tenant", F.col("id").cast("string")))
+    asked = text_queries(t).select(F.split_part("query_id", F.lit(":"), F.lit(2)).alias("item"), "text", tenants.alias("tenant"))
+    asked = asked.select(F.concat_ws(":", "tenant", "item").alias("query_id"), "tenant", "text")
+    return q.tenant_probe(retrieve(docs, asked, 5, "bm25"), asked, docs.select("id", "tenant"))
+
+
 def copies(wh: Any) -> DataFrame:
     """Invoices against the sales lines they were made from."""
     shipped = wh["o2c_sales_order_line"].join(wh["o2c_fulfillment_line"].select("so_line_key"), "so_line_key", "left_semi")
@@ -127,5 +139,6 @@ def queries() -> dict[str, Query]:
         "quality_distributor_acceptance": on_distributor(distributor_acceptance),
         "quality_answer_sanity": on_distributor(answer_sanity),
         "quality_tenant_isolation": on_distributor(isolation),
+        "quality_tenant_probe": on_raw(planted_twins),
         "quality_copy_parity": on_distributor(copies),
     }

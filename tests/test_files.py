@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import date
 
 import pytest
@@ -66,6 +67,44 @@ def test_published_warehouse_gives_the_same_metrics(spark, tmp_path):
         assert rows(raw) == rows(stored)
 
 
+def test_commits_are_only_added(spark, tmp_path):
+    folder = str(tmp_path / "wh")
+    with pytest.raises(ValueError, match="no published version"):
+        files.current_version(spark, folder)
+    assert [files.commit(spark, folder, v) for v in ("a", "b")] == [1, 2]
+    # a commit that is still being written, and a stray file
+    (tmp_path / "wh" / "_commits" / "000000000003").write_text("c\n")
+    (tmp_path / "wh" / "_commits" / "note").write_text("x")
+    assert files.current_version(spark, folder) == "b"
+    assert files.commit(spark, folder, "d") == 4 and files.current_version(spark, folder) == "d"
+
+
+def test_a_repeated_key_stops_the_refresh(spark, tmp_path):
+    folder = str(tmp_path / "wh")
+    files.full_refresh(tiny(spark, 1), folder, ["dim_customer"])
+    twice = tiny(spark, 2)
+    twice = twice.replaced(dim_customer=twice["dim_customer"].union(twice["dim_customer"]))
+    with pytest.raises(ValueError, match="dim_customer.customer_key repeats"):
+        files.full_refresh(twice, folder, ["dim_customer"])
+    assert files.open_current(spark, "distributor", folder)["dim_customer"].first()["customer_key"] == 1
+
+
+def test_a_period_opens_its_months_only(spark, tmp_path):
+    from ledgerloom.periods import Period
+
+    raw = distributor(spark, "/root/testdata/sf0.001")
+    folder = str(tmp_path / "wh")
+    files.full_refresh(raw, folder, ["o2c_sales_order_line"])
+    stored = files.open_current(spark, "distributor", folder)
+    period = Period.between(date(1999, 2, 10), date(1999, 3, 20))
+    found = metric("total_revenue").compute(stored, period=period)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"order_date_month#\d+ >= 1999-02-01", text.split("PartitionFilters")[1].split("PushedFilters")[0])
+    assert found.first()[0] == pytest.approx(metric("total_revenue").compute(raw, period=period).first()[0])
+    days = stored["o2c_sales_order_line"].groupBy("order_date_month").agg(F.min("order_date").alias("a"), F.max("order_date").alias("b"))
+    assert all(r.order_date_month == r.a.replace(day=1) == r.b.replace(day=1) for r in days.collect())
+
+
 def test_bounded_result(spark):
     shown, size = files.bounded_result(spark.range(250), 100)
     assert shown.count() == 100
@@ -109,6 +148,46 @@ def test_guard_knows_stored_tables(spark, tmp_path):
         spark.sql("DROP TABLE guard_stored")
 
 
+def test_guard_tells_databases_apart(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE secret LOCATION '{tmp_path}/secret'")
+    try:
+        spark.sql("CREATE TABLE secret.ok USING parquet AS SELECT 1 AS id")
+        spark.range(3).createOrReplaceTempView("ok")
+        assert files.guard_plan(spark.table("ok"), ["id"], ["ok"]).count() == 3
+        with pytest.raises(ValueError, match="secret.ok"):
+            files.guard_plan(spark.table("secret.ok"), ["id"], ["ok"])
+        assert files.guard_plan(spark.table("secret.ok"), ["id"], ["secret.ok"]).count() == 1
+        spark.sql(f"CREATE TABLE ok USING parquet LOCATION '{tmp_path}/ok' AS SELECT 7L AS id")
+        with pytest.raises(ValueError, match="hides default.ok"):
+            files.guard_plan(spark.table("ok"), ["id"], ["ok"])
+    finally:
+        spark.catalog.dropTempView("ok")
+        spark.sql("DROP TABLE IF EXISTS ok")
+        spark.sql("DROP DATABASE secret CASCADE")
+
+
+def test_lineage_follows_columns_through_the_plan(spark):
+    spark.createDataFrame([(1, "x", 2.0)], "id long, code string, pay double").createOrReplaceTempView("line_a")
+    spark.createDataFrame([(1, "y")], "id long, note string").createOrReplaceTempView("line_b")
+    shown = {
+        "SELECT pay AS id FROM line_a": {"id": {"line_a.pay"}},
+        "SELECT sum(pay) AS n, code FROM line_a GROUP BY code": {"n": {"line_a.pay"}, "code": {"line_a.code"}},
+        "SELECT x.id, upper(note) AS n FROM line_a x JOIN line_b y ON x.id = y.id": {"id": {"line_a.id"}, "n": {"line_b.note"}},
+        "SELECT id FROM line_a UNION ALL SELECT length(note) FROM line_b": {"id": {"line_a.id", "line_b.note"}},
+        "WITH c AS (SELECT id, pay AS p FROM line_a) SELECT p + id AS q FROM c": {"q": {"line_a.pay", "line_a.id"}},
+        "SELECT (SELECT max(pay) FROM line_a) AS top FROM line_b": {"top": {"line_a.pay"}},
+        "SELECT rank() OVER (ORDER BY pay) AS r FROM line_a": {"r": {"line_a.pay"}},
+        "SELECT e FROM line_a LATERAL VIEW explode(array(code, 'k')) t AS e": {"e": {"line_a.code"}},
+    }
+    for query, expected in shown.items():
+        assert files.column_lineage(spark.sql(query)) == expected, query
+    allowed = ["line_a.id", "line_a.code"]
+    assert files.guard_plan(spark.sql("SELECT id FROM line_a"), ["id"], ["line_a"], sources=allowed).count() == 1
+    for renamed in ("SELECT pay AS id FROM line_a", "SELECT CAST(sum(pay) AS BIGINT) AS id FROM line_a"):
+        with pytest.raises(ValueError, match="line_a.pay"):
+            files.guard_plan(spark.sql(renamed), ["id"], ["line_a"], sources=allowed)
+
+
 def test_insert_by_position(spark, tmp_path):
     spark.sql(f"CREATE TABLE inserted_rows (k BIGINT, v STRING) USING parquet LOCATION '{tmp_path}/t'")
     try:

@@ -227,3 +227,16 @@ def test_bm25_moves_only_the_best_of_a_block(spark):
     text = found._jdf.queryExecution().executedPlan().toString()
     joined = text[text.index("MapInArrow") :]
     assert "WindowGroupLimit" in text and not re.search(r"(Sort|Hash)Aggregate\(keys=\[query_id#\d+L?, id#", joined)
+
+
+def test_the_probe_notices_a_retrieval_without_tenants(spark):
+    from ledgerloom.operators.quality import tenant_probe
+
+    docs = spark.createDataFrame([(f"{t}:{i}", t, f"shared word{i}") for t in ("a", "b") for i in range(4)], "id string, tenant string, text string")
+    asked = spark.createDataFrame([("q1", "a", "shared word1"), ("q2", "b", "shared word2"), ("q3", "c", "shared")], "query_id string, tenant string, text string")
+    owners = docs.select("id", "tenant")
+    good = {x.check_id: x.passed for x in tenant_probe(r.retrieve(docs, asked, 3, "bm25"), asked, owners).collect()}
+    assert good == {"isolation:a": True, "isolation:b": True, "isolation:c": False}  # c finds nothing
+    open_to_all = docs.withColumn("tenant", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    bad = {x.check_id: x.passed for x in tenant_probe(r.retrieve(open_to_all, asked, 3, "bm25"), asked, owners).collect()}
+    assert not bad["isolation:a"] and not bad["isolation:b"]
