@@ -190,7 +190,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
     one = sets.select(F.col("words").alias("wa"), F.col("set").alias("sa"))
     two = sets.select(F.col("words").alias("wb"), F.col("set").alias("sb"))
-    both = pairs.join(one, F.col("a.words") == F.col("wa")).join(two, F.col("b.words") == F.col("wb"))
+    both = pairs.join(one, F.col("a") == F.col("wa")).join(two, F.col("b") == F.col("wb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     measured = both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("sizes"))
     return measured.where(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select("a", "b")
@@ -236,7 +236,7 @@ def _rest_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pair counts at its first common token, at places i and j: it then shares at most the lesser
     of x - i and y - j, which must be enough. Groups that are already one are left out.
     """
-    own = rest.join(sets, F.col("node.words") == sets["words"]).select("node", "label", "set", F.size("set").alias("size"))
+    own = rest.join(sets, F.col("node") == sets["words"]).select("node", "label", "set", F.size("set").alias("size"))
     tokens = own.select("node", "label", "size", F.explode("set").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ranked = tokens.join(counts, "token", "left").groupBy("node", "label", "size").agg(
@@ -281,14 +281,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         signed.where(F.col("words").isNotNull()).groupBy("words").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")).alias("first"),
             F.first("bands").alias("bands"),
-        ).select(F.struct("first.*", "words").alias("node"), "bands"),
+        ).select(F.col("words").alias("node"), "first", "bands"),
         "nodes",
     )
     at = nodes.select("node", F.explode("bands").alias("band"))
     buckets = at.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1")
     members = stored(at.join(buckets, "band"), "members")
     pairs = stored(_pairs(members), "pairs")
-    involved = members.select("node").distinct().select("node.*")
+    involved = nodes.join(members.select("node").distinct(), "node", "left_semi").select(
+        "first.doc_id", "first.text_key", F.col("node").alias("words")
+    )
     sets = stored(full_sets(docs, involved, k), "sets")
     links = stored(_confirmed(pairs, sets, percent), "links")
     labels = grouped(links)
@@ -296,9 +298,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if rest.limit(1).count():
         more = stored(_confirmed(_rest_pairs(rest, sets, percent), sets, percent), "links")
         labels = grouped(links.unionByName(more))
-    groups = nodes.select("node").join(labels, "node", "left").select(
-        F.col("node.words").alias("words"), F.coalesce("label", "node").alias("label")
-    )
+    placed = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    heads = placed.groupBy("label").agg(F.min("first").alias("first"))
+    groups = placed.select(F.col("node").alias("words"), "label").join(heads, "label").select("words", F.col("first").alias("label"))
     found = signed.drop("bands").join(groups, "words", "left")
     alone = F.col("words").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("label.doc_id"))
