@@ -1,7 +1,8 @@
 """Ranking and order statistics that never sort a whole table in one task.
 
-Order statistics read their input twice or three times: give them a frame that is cheap to
-read again, such as an aggregate passed through ``session.computed_once``.
+Order statistics read their input once for each level of their bracket and once more: give
+them a frame that is cheap to read again, such as an aggregate passed through
+``session.computed_once``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from ledgerloom.session import computed_once
 
 # rank error of the quantile sketch is at most 1 / SKETCH_ACCURACY of the rows
 SKETCH_ACCURACY = 50_000
+# the rows inside a bracket are cut into this many parts, and it narrows to four of them
+PARTS = 200
+NARROWINGS = 2
 
 
 def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -46,24 +50,62 @@ def with_share(df: DataFrame, value: str, name: str = "pct_of_total") -> DataFra
     ).drop(total)
 
 
+def _fractions(parts: range, of: int) -> Column:
+    """A constant array, parsed as one expression."""
+    return F.expr(f"array({', '.join(f'{i / of!r}D' for i in parts)})")
+
+
+def rank_bracket(
+    df: DataFrame, value: str, fraction: float, position: Column, accuracy: int = SKETCH_ACCURACY, parts: int = PARTS,
+    narrowings: int = NARROWINGS,
+) -> DataFrame:
+    """One row: the row count ``n``, the wanted ``rank``, and values ``low`` and ``high`` around it.
+
+    A mergeable quantile sketch of all rows gives the first bracket, about six parts in
+    ``accuracy`` of them. Each narrowing counts the rows below the bracket, sketches those
+    inside, and keeps the four of ``parts`` parts around the rank. The number of levels is
+    fixed, and each is a scalar subquery of the next: nothing runs while the plan is made.
+    """
+    x = F.col(value)
+    margin = 3.0 / accuracy
+    ends = [max(0.0, fraction - margin), min(1.0, fraction + margin)]
+    bracket = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(x, ends, accuracy).alias("ends")).select(
+        "n", position.cast("bigint").alias("rank"), F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high")
+    )
+    grid = _fractions(range(parts + 1), parts)
+    for _ in range(narrowings):
+        inside = x.between(F.col("b.low"), F.col("b.high"))
+        sketched = df.withColumn("b", one_row(bracket)).agg(
+            F.first("b").alias("b"),
+            F.count(F.when(x < F.col("b.low"), 1)).alias("under"),
+            F.count(F.when(inside, 1)).alias("held"),
+            F.percentile_approx(F.when(inside, x), grid, max(accuracy, 10 * parts)).alias("grid"),
+        )
+        spot = F.try_divide((F.col("b.rank") - F.col("under")) * F.lit(parts), F.col("held"))
+        # a rank just outside keeps the edge it stands beside
+
+        def edge(part: Column) -> Column:
+            return F.get("grid", F.least(F.greatest(part, F.lit(0)), F.lit(parts)).cast("int"))
+
+        bracket = sketched.select(
+            "b.n", "b.rank", edge(F.floor(spot) - 1).alias("low"), edge(F.ceil(spot) + 1).alias("high")
+        )
+    return bracket
+
+
 def order_statistic(df: DataFrame, value: str, fraction: float, position: Column) -> DataFrame:
     """One row: the exact values of a numeric column at a rank and at the next rank.
 
     ``position`` gives the zero-based rank from the smallest as a function of the row
-    count ``n``, and ``fraction`` is where that rank lies (0 to 1). A mergeable quantile
-    sketch brackets the rank to a few parts in ``SKETCH_ACCURACY`` of the rows; rows under
-    and over the bracket collapse into one counted row each, and only the distinct values
-    inside are ordered in one place. The sketch decides how much is ordered, never the
-    result: a rank outside the bracket raises.
+    count ``n``, and ``fraction`` is where that rank lies (0 to 1). ``rank_bracket`` narrows
+    the values to some five rows in a hundred million; rows under and over the bracket
+    collapse into one counted row each, and only the distinct values inside are ordered in one
+    place. The sketches decide how much is ordered, never the result: a rank outside the
+    bracket raises.
     """
     x = F.col(value)
     rows = df.where(x.isNotNull()).select(x)
-    margin = 3.0 / SKETCH_ACCURACY
-    ends = [max(0.0, fraction - margin), min(1.0, fraction + margin)]
-    bracket = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(x, ends, SKETCH_ACCURACY).alias("ends"),
-    ).select("n", position.cast("bigint").alias("rank"), F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
+    bracket = rank_bracket(rows, value, fraction, position)
     zone = F.when(x < F.col("b.low"), 0).when(x <= F.col("b.high"), 1).otherwise(2)
     counted = (
         rows.withColumn("b", one_row(bracket))
@@ -127,15 +169,16 @@ def top_fraction_share(df: DataFrame, value: str, fraction: float, name: str = "
 def neighbour_gaps(df: DataFrame, value: str, bins: int = 256) -> DataFrame:
     """``(value, lower, gap)``: each distinct value with the next smaller one.
 
-    The values are cut into bins at approximate quantiles, so no task orders more than
-    about one bin's share. The cut points are fixed before the plan is built; the first
-    value of a bin takes its neighbour from the bin summaries.
+    The values are cut into bins at the quantiles of a sketch, a scalar subquery of the plan,
+    so no task orders more than about one bin's share. A bin hands its largest value to the
+    next one: the first value of a bin takes its neighbour from the bin summaries.
     """
     x = F.col(value)
     rows = computed_once(df.where(x.isNotNull()).select(x.cast("double").alias(value)).distinct())
-    cuts = sorted(set(rows.approxQuantile(value, [i / bins for i in range(1, bins)], 1 / (4 * bins))))
-    edges = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
-    binned = rows.withColumn("bin", F.size(F.filter(edges, lambda c: c < x)))
+    grid = _fractions(range(1, bins), bins)
+    cuts = rows.agg(F.array_distinct(F.percentile_approx(x, grid, 16 * bins)).alias("cuts"))
+    edged = rows.withColumn("cuts", cuts.scalar())
+    binned = edged.withColumn("bin", F.size(F.filter("cuts", lambda c: c < x))).drop("cuts")
     within = binned.withColumn("lower", F.lag(value).over(Window.partitionBy("bin").orderBy(value)))
     summary = binned.groupBy("bin").agg(F.max(value).alias("highest"))
     below = summary.select("bin", F.lag("highest").over(Window.orderBy("bin")).alias("below"))

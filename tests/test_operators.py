@@ -30,6 +30,31 @@ def test_order_statistics_of_nothing_and_of_one_hot_value(spark):
     assert ranking.exact_quantile(hot, "x", 0.2).collect()[0][0] == 5.0
 
 
+@pytest.mark.parametrize("n", [2_000, 200_000])
+@pytest.mark.parametrize("fraction", [0.0, 0.31, 1.0])
+def test_a_rank_bracket_holds_a_bounded_number_of_values(spark, n, fraction):
+    df = spark.range(n).select((F.xxhash64("id") / 1e6).alias("x")).union(spark.range(n).select(F.lit(0.5).alias("x")))
+    wanted = F.floor(F.lit(fraction) * (F.col("n") - 1))
+    held = []
+    for narrowings in (0, 1, 2):
+        row = ranking.rank_bracket(df, "x", fraction, wanted, 100, 20, narrowings).collect()[0]
+        assert df.where(F.col("x") < row["low"]).count() <= row["rank"] < df.where(F.col("x") <= row["high"]).count()
+        held.append(df.where(F.col("x").between(row["low"], row["high"])).distinct().count())
+    # the sketch holds six parts of 100 and its error; a narrowing keeps four of 20 parts and their edges
+    assert held[0] <= 2 * n * 0.08 + 2
+    assert held[1] <= held[0] * 0.22 + 5 and held[2] <= held[1] * 0.22 + 5
+
+
+def test_selection_runs_nothing_while_planned(spark):
+    context, df = spark.sparkContext, values(spark, range(500))
+    context.setJobGroup("planned", "no job")
+    try:
+        ranking.exact_quantile(df, "x", 0.4)
+        assert context.statusTracker().getJobIdsForGroup("planned") == []
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_neighbour_gaps(spark):
     rng = random.Random(3)
     numbers = [rng.choice([rng.random(), 1e6 * rng.random(), 7.0]) for _ in range(3000)]
