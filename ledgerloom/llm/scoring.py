@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import stored
 from ledgerloom.llm.numeric import GOLDEN, RangeHash, as_bytes, joined, mixed, words_of
 
 BLOCK_BYTES = 12 << 20  # text whose n-grams are counted and scored together
 SHARD_BYTES = 48 << 20  # text to a shard of the model
-WORD_BITS = 28  # of each word in a bigram's key
+WORD_BITS = 32  # of each word in a bigram's key: successors of a context that has n share a count at a rate of n / 2**32
 WEIGHT = 0.6  # of the bigram level against the unigram level
 STEP = 2048  # codes to a factor of ten
 BEGIN, END = np.uint64(0x0B5E), np.uint64(0x0E4D)
@@ -174,22 +175,27 @@ class Block:
         self.levels = [np.unique(x, return_inverse=True) for x in (tokens, pairs)]
         self.shard = [(mixed(keys * GOLDEN) % np.uint64(shards)).astype(np.int64) for keys, _ in self.levels]
 
-    def requests(self, held_out: np.ndarray, shards: int):
-        """Level, shard, keys and counts in training texts, for every level and shard."""
+    def _cells(self, level: int):
+        """Each shard that holds keys of the level, and where those keys stand."""
+        order = np.argsort(self.shard[level], kind="stable")
+        held, begin = np.unique(self.shard[level][order], return_index=True)
+        yield from zip(held.tolist(), np.split(order, begin[1:]))
+
+    def requests(self, held_out: np.ndarray):
+        """Level, shard, keys and counts in training texts, for the shards that hold any of the block's keys.
+
+        There are never more of these than distinct n-grams, however many shards there are.
+        """
         training = ~held_out[self.owner]
-        for level, ((keys, at), shard) in enumerate(zip(self.levels, self.shard)):
+        for level, (keys, at) in enumerate(self.levels):
             counts = np.bincount(at[training], minlength=len(keys)).astype("<u4")
-            order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in range(shards):
-                own = order[edges[s] : edges[s + 1]]
+            for s, own in self._cells(level):
                 yield level, s, EliasFano.to_bytes(keys[own], 64 if level == 0 else 2 * WORD_BITS), _planes(counts[own])
 
     def values(self, level: int, answers: dict[tuple[int, int], bytes], kind: str) -> np.ndarray:
         """The answers of all shards in the order of the level's keys."""
         out = np.zeros(len(self.levels[level][0]), kind)
-        for s in np.unique(self.shard[level]):
-            own = self.shard[level] == s
+        for s, own in self._cells(level):
             out[own] = _from_planes(answers[level, s], kind)
         return out
 
@@ -226,7 +232,9 @@ def score_texts(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTE
     and bigrams with their training counts to shards of the model, by key hash, so no word or
     context gathers in one task. A shard sums them, builds its part of the trie, and answers
     each block's own keys; the block then scores its documents. The model is never whole
-    anywhere, and what moves grows as the distinct n-grams of the blocks.
+    anywhere. A block writes to the shards that hold its n-grams, so rows and bytes that move
+    grow as the distinct n-grams of the blocks. Replies are a stored table: an executor lost
+    later costs no new count.
 
     ``base_score`` adds one to the exact word counts. ``score`` mixes that with the quantised
     bigram level: p = WEIGHT * count(context, word) / count(context) + (1 - WEIGHT) * base;
@@ -242,7 +250,7 @@ def score_texts(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTE
     def asked(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         own = Block(as_bytes(group.column("text").to_pylist()), shards)
         held = group.column("held_out").to_numpy(zero_copy_only=False)
-        level, shard, keys, counts = zip(*own.requests(np.asarray(held, bool), shards))
+        level, shard, keys, counts = zip(*own.requests(np.asarray(held, bool)))
         n = len(level)
         return pa.table(
             {
@@ -255,7 +263,6 @@ def score_texts(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTE
         own = Block(as_bytes(group.column("text").to_pylist()), shards)
         names = zip(replies.column("level").to_pylist(), replies.column("shard").to_pylist())
         answers = dict(zip(names, replies.column("reply").to_pylist()))
-        total, types = sum(replies.column("tokens").to_pylist()), sum(replies.column("types").to_pylist())
         words, at_word = own.levels[0]
         count = own.values(0, answers, "<u4").astype(np.float64)
         code = own.values(1, answers, "<u2")[own.levels[1][1]].astype(np.float64)
@@ -279,9 +286,14 @@ def score_texts(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTE
         )
 
     requests = rows.groupBy("block").applyInArrow(asked, "block int, level int, shard int, keys binary, counts binary")
-    replies = requests.groupBy("level", "shard").applyInArrow(
+    answered = requests.groupBy("level", "shard").applyInArrow(
         _answer, "block int, level int, shard int, reply binary, tokens long, types long"
     )
+    replies = stored(answered, "replies")
+    # a shard says the same in each of its replies
+    own = replies.where("level = 0").groupBy("shard").agg(F.max("tokens").alias("tokens"), F.max("types").alias("types"))
+    total, types = own.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    replies = replies.select("block", "level", "shard", "reply")
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
         scored,
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

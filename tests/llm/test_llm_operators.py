@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,8 +143,6 @@ def test_near_duplicates(spark):
 
 
 def test_signatures_estimate_similarity():
-    import numpy as np
-
     draw = np.random.default_rng(3).integers(1, 2**62, 900).astype(np.uint64)
     one, two = draw[:600], draw[150:900]  # 450 of 900
     marks = near_duplicates.super_minhash(np.concatenate([one, two]), np.repeat([0, 1], [600, 750]), 2)
@@ -285,3 +284,20 @@ def test_shared_passages_too_short_to_remove(spark):
     shared = blob(20)[:150]
     docs = spark.createDataFrame([(i, blob(90) + shared + blob(90)) for i in range(12)], "doc_id long, text string")
     assert all(r.spans == [] for r in substrings.remove_repeats(docs, keep="none").collect())
+
+
+def test_blocks_ask_only_the_shards_that_hold_their_ngrams(spark):
+    blob, _ = words_in(17)
+    texts = [blob(30) for _ in range(20)] + ["", None]
+    block = scoring.Block([(t or "").encode() for t in texts], 50_000)
+    asked = [(level, shard) for level, shard, *_ in block.requests(np.zeros(len(texts), bool))]
+    assert len(asked) == len(set(asked)) <= sum(len(keys) for keys, _ in block.levels)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    many, few = (
+        {r.doc_id: (r.n_known, r.train_tokens, r.base_score, r.score) for r in
+         scoring.score_texts(docs, is_held_out(7, 2), block_bytes=1500, shard_bytes=size).collect()}
+        for size in (20, 1 << 20)
+    )
+    assert many.keys() == few.keys() == set(range(len(texts)))
+    for i, row in many.items():
+        assert row[:2] == few[i][:2] and row[2:] == pytest.approx(few[i][2:])
