@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from comparing import duck
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
@@ -301,3 +302,9 @@ def test_blocks_ask_only_the_shards_that_hold_their_ngrams(spark):
     assert many.keys() == few.keys() == set(range(len(texts)))
     for i, row in many.items():
         assert row[:2] == few[i][:2] and row[2:] == pytest.approx(few[i][2:])
+
+
+def test_sharding_matches_sql(spark, sf_dir):
+    con = duck(sf_dir)
+    rows = queries.op5_sharding(spark, sf_dir).select("doc_id", "size", "law", "shard", "slot", "grown_shard").collect()
+    assert sorted(tuple(r) for r in rows) == sorted(con.execute(queries.SHARDING_SQL).fetchall())
