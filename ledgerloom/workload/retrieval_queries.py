@@ -130,58 +130,56 @@ def duel(spark: Any, t: Any) -> DataFrame:
     return e.head_to_head(results, truth(t, results), _questions(t), "dense", "bm25")
 
 
-# --- answer scoring: one question per nation, its revenue by segment is the truth -------------
+# --- answer scoring: one question per customer, its revenue by year is the truth --------------
 
 
-def nation_segments(wh: Any) -> DataFrame:
-    """Revenue per nation and segment: five rows per nation."""
-    per_customer = wh["orders"].groupBy("o_custkey").agg(F.sum("o_totalprice").alias("revenue"))
-    return (
-        per_customer.join(wh["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("c_nationkey", "c_mktsegment")
-        .agg(F.round(F.sum("revenue"), 2).alias("revenue"))
-        .select(F.col("c_nationkey").cast("bigint").alias("nation"), F.col("c_mktsegment").alias("segment"), "revenue")
-    )
+def customer_years(wh: Any) -> DataFrame:
+    """Revenue per customer and year: as many rows per customer as it has years with orders."""
+    return wh["orders"].groupBy(
+        F.col("o_custkey").cast("bigint").alias("customer"), F.year("o_orderdate").alias("year")
+    ).agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"))
 
 
-def _rows(segment: Any, revenue: Any) -> Any:
-    return F.struct(F.array(segment).alias("texts"), F.array(revenue).alias("numbers"))
+def _rows(label: Any, revenue: Any) -> Any:
+    return F.struct(F.array(label).alias("texts"), F.array(revenue).alias("numbers"))
 
 
 def answers(wh: Any) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Runs, questions and truth. A run's figures are off by an amount its mode and nation decide."""
-    facts = nation_segments(wh)
-    # a nation has one row per segment, so these lists are short
-    truth_rows = facts.groupBy("nation").agg(F.sort_array(F.collect_list(_rows(F.col("segment"), F.col("revenue")))).alias("truth_rows"))
-    modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(i).alias("m")) for i, m in enumerate(("bm25", "dense", "rrf", "schema"))])
-    spread = facts.select("nation", "segment", "revenue", F.inline(modes))
-    off = F.when((F.col("nation") + F.col("m") + F.length("segment")) % 3 == 0, 1.05).otherwise(1.005)
-    ids = F.array(
-        F.concat(F.lit("distributor:metric_"), ((F.col("nation") + F.col("m")) % 4).cast("string")),
-        F.concat(F.lit("distributor:table_"), (F.col("nation") % 3).cast("string")),
+    """Runs, questions and truth. A run's figures are off by an amount its mode, customer and year decide.
+
+    A question is asked in every mode, so runs grow with the customers. Result rows are gathered
+    once per customer, in one shuffle, and turned into each mode's answer inside the row.
+    """
+    customer = F.col("customer")
+    text = lambda head, n: F.concat(F.lit(head), n.cast("string"))
+    # a customer has one row per year, so these lists are short
+    facts = customer_years(wh).groupBy("customer").agg(
+        F.sort_array(F.collect_list(F.struct("year", "revenue"))).alias("years"), F.sum("revenue").alias("total")
     )
-    runs = (
-        spread.groupBy("nation", "mode", "m")
-        .agg(F.collect_list(_rows(F.lower("segment"), F.col("revenue") * off)).alias("result_rows"), F.round(F.sum("revenue") / 1000).cast("bigint").alias("size"))
-        .select(
-            F.col("nation").cast("string").alias("id"), "mode", ids.alias("retrieved_chunk_ids"), "result_rows",
-            (F.col("nation") % 7 == F.col("m")).alias("refused"),
-            (F.col("nation") % 7 != F.col("m")).alias("sql_valid"),
-            F.col("size").alias("tokens_in"), (F.col("size") / 1e6).alias("cost_usd"), "nation",
-        )
-        .withColumn("tier", F.when(F.col("nation") % 5 == 4, "C").when(F.col("nation") % 2 == 0, "S").otherwise("H"))
-        .drop("nation")
+    truth_rows = facts.select(
+        customer.cast("string").alias("id"),
+        F.transform("years", lambda y: _rows(text("Year ", y["year"]), y["revenue"])).alias("truth_rows"),
     )
-    nation = F.col("nation")
-    text = lambda head, n: F.concat(F.lit(head), n.cast("string"))
-    questions = truth_rows.select(
-        nation.cast("string").alias("id"),
-        F.when(nation % 5 == 4, F.when(nation % 2 == 0, "no_foreign").otherwise("refuse")).alias("control"),
-        F.array(text("distributor:metric_", nation % 4)).alias("primary"),
-        F.array(text("distributor:table_", nation % 3), text("distributor:table_", nation % 2)).alias("tables"),
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(i).alias("m")) for i, m in enumerate(("bm25", "dense", "rrf", "schema"))])
+    m = F.col("m")
+    off = lambda year: F.when((customer + m + year) % 3 == 0, 1.05).otherwise(1.005)
+    size = F.round(F.col("total") / 1000).cast("bigint")
+    runs = facts.select("customer", "years", "total", F.inline(modes)).select(
+        customer.cast("string").alias("id"), "mode",
+        F.array(text("distributor:metric_", (customer + m) % 4), text("distributor:table_", customer % 3)).alias("retrieved_chunk_ids"),
+        F.transform("years", lambda y: _rows(text("year ", y["year"]), y["revenue"] * off(y["year"]))).alias("result_rows"),
+        (customer % 7 == m).alias("refused"), (customer % 7 != m).alias("sql_valid"),
+        size.alias("tokens_in"), (size / 1e6).alias("cost_usd"),
+        F.when(customer % 5 == 4, "C").when(customer % 2 == 0, "S").otherwise("H").alias("tier"),
+    )
+    questions = facts.select(
+        customer.cast("string").alias("id"),
+        F.when(customer % 5 == 4, F.when(customer % 2 == 0, "no_foreign").otherwise("refuse")).alias("control"),
+        F.array(text("distributor:metric_", customer % 4)).alias("primary"),
+        F.array(text("distributor:table_", customer % 3), text("distributor:table_", customer % 2)).alias("tables"),
         F.array(F.lit("distributor:metric_1")).alias("extra"),
     )
-    return runs, questions, truth_rows.select(nation.cast("string").alias("id"), "truth_rows")
+    return runs, questions, truth_rows
 
 
 def scored_answers(wh: Any) -> DataFrame:
