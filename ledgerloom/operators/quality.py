@@ -20,11 +20,11 @@ from ledgerloom.functions.scalars import one_row
 CHECK_COLUMNS = ["check_id", "label", "expected", "actual", "passed"]
 
 
-def _check(one_row: DataFrame, check_id: str, label: str, expected: str, actual: Column, passed: Column) -> DataFrame:
+def _check(one_row: DataFrame, check_id: str, label: str, expected: str | Column, actual: Column, passed: Column) -> DataFrame:
     return _checks(one_row, [(check_id, label, expected, actual, passed)])
 
 
-def _checks(one_row: DataFrame, entries: Sequence[tuple[str, str, str, Column, Column]]) -> DataFrame:
+def _checks(one_row: DataFrame, entries: Sequence[tuple[str, str, str | Column, Column, Column]]) -> DataFrame:
     """Several checks from one row of aggregates, which is computed once."""
     rows = [
         F.struct(
@@ -43,13 +43,14 @@ def report(checks: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [c.select(*CHECK_COLUMNS) for c in checks])
 
 
-def row_counts(wh: Mapping[str, DataFrame], expected: Mapping[str, int], tolerance: float = 0.05) -> DataFrame:
-    """Row count of each table within a fraction of what is expected."""
+def row_counts(wh: Mapping[str, DataFrame], expected: Mapping[str, int | Column], tolerance: float = 0.05) -> DataFrame:
+    """Row count of each table within a fraction of what is expected: a number, or a scalar subquery."""
     rows = F.count(F.lit(1))
+    wanted = F.col("wanted")
     return report(
         _check(
-            wh[name].agg(rows.alias("n")), f"rows:{name}", "row count", str(n),
-            F.col("n"), F.abs(F.col("n") - n) <= tolerance * n,
+            wh[name].agg(rows.alias("n")).withColumn("wanted", F.lit(n).cast("bigint")), f"rows:{name}", "row count",
+            wanted.cast("string"), F.col("n"), F.abs(F.col("n") - wanted) <= tolerance * wanted,
         )
         for name, n in expected.items()
     )
@@ -60,6 +61,7 @@ def orphans(wh: Any, tables: Sequence[str] | None = None) -> DataFrame:
 
     Each table is read once: its keys become ``(relation, value)`` rows that are counted
     before they meet the targets, so a hot key arrives as one row. A NULL key is no orphan.
+    Targets are made distinct only where their key is not declared unique.
     """
     hops = [h for h in wh.catalog.foreign_keys(wh.tenant) if tables is None or h.left in tables]
     by_table: dict[str, list[Any]] = {}
@@ -97,10 +99,12 @@ def orphans(wh: Any, tables: Sequence[str] | None = None) -> DataFrame:
 
     used = reduce(DataFrame.unionByName, [keys(t) for t in by_table])
     counted = used.groupBy("relation", "target", "value").agg(F.count(F.lit(1)).alias("n"))
-    present = reduce(
-        DataFrame.unionByName,
-        [wh[t].select(F.lit(number[f"{t}.{k}"]).alias("target"), carried(t, k).alias("value")).distinct() for t, k in targets],
-    )
+
+    def values(table: str, key: str) -> DataFrame:
+        found = wh[table].select(F.lit(number[f"{table}.{key}"]).alias("target"), carried(table, key).alias("value"))
+        return found if wh.catalog.table(wh.tenant, table).primary_key == key else found.distinct()
+
+    present = reduce(DataFrame.unionByName, [values(t, k) for t, k in targets])
     missing = counted.join(present, ["target", "value"], "left_anti").groupBy("relation").agg(F.sum("n").alias("n"))
     relations = wh.spark.createDataFrame(
         [(i, name(h), target(h)) for i, h in enumerate(hops)], "relation int, key string, target string"
@@ -329,3 +333,47 @@ def parity(left: DataFrame, right: DataFrame, sums: Mapping[str, Column], check_
             for i, n in enumerate(names)
         ],
     )
+
+
+def content_digests(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
+    """Per part: the number of rows and a digest of their contents that no order of rows changes.
+
+    Two 64-bit hashes a row, which see NULLs and where they stand, are combined by exclusive or
+    and by sums of 24 bits, so parts merge on the map side and repeated rows count. Doubles are
+    compared exactly. Columns of equal names must have equal types on both sides.
+    """
+    shown = [F.col(f"`{c}`") for c in (df.columns if columns is None else columns)]
+    seen = [*shown, *[c.isNull() for c in shown]]
+    rows = df.select(*by, F.xxhash64(*seen).alias("__x"), F.xxhash64(F.lit(1), *seen).alias("__y"))
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFF))
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.struct(
+            F.bit_xor("__x").alias("x"), F.bit_xor("__y").alias("y"),
+            F.sum(low("__x")).alias("sum_x"), F.sum(low("__y")).alias("sum_y"),
+        ).alias("digest"),
+    )
+
+
+def differing_parts(
+    left: DataFrame, right: DataFrame, by: Sequence[str], columns: Sequence[str] | None = None
+) -> DataFrame:
+    """The parts whose rows are not the same on both sides: ``by``, ``left_rows`` and ``right_rows``."""
+    sides = [
+        content_digests(df, by, columns or left.columns).withColumn("side", F.lit(tag))
+        for df, tag in ((left, "left"), (right, "right"))
+    ]
+    of = lambda tag, c: F.max(F.when(F.col("side") == tag, F.col(c)))
+    met = sides[0].unionByName(sides[1]).groupBy(*by).agg(
+        F.coalesce(of("left", "rows"), F.lit(0)).alias("left_rows"), F.coalesce(of("right", "rows"), F.lit(0)).alias("right_rows"),
+        of("left", "digest").alias("a"), of("right", "digest").alias("b"),
+    )
+    return met.where("left_rows <> right_rows or not (a <=> b)").drop("a", "b")
+
+
+def content_parity(
+    left: DataFrame, right: DataFrame, by: Sequence[str], check_id: str, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """No part of two copies differs in any row."""
+    n = differing_parts(left, right, by, columns).agg(F.count(F.lit(1)).alias("n"))
+    return _check(n, check_id, "parts that differ", "0", F.col("n"), F.col("n") == 0)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.catalog import Catalog, Table
+from ledgerloom.operators.quality import differing_parts
 from ledgerloom.periods import month_column
 from ledgerloom.sources.schemas import CATALOG
 from ledgerloom.sources.warehouse import Warehouse, published
@@ -238,6 +239,57 @@ def sync_table(source: DataFrame, path: str) -> DataFrame:
     return source.sparkSession.read.parquet(path)
 
 
+def write_parts(source: DataFrame, folder: str, by: str) -> DataFrame:
+    """Store a copy with a folder for each value of ``by`` and return the copy."""
+    _dealt(source, by).write.mode("overwrite").partitionBy(by).parquet(folder)
+    return read_parts(source, folder)
+
+
+def read_parts(source: DataFrame, folder: str) -> DataFrame:
+    """A copy stored in parts, typed as its source, so that folder names are not guessed at."""
+    return source.sparkSession.read.schema(source.schema).parquet(folder).select(*source.columns)
+
+
+def _dealt(source: DataFrame, by: str) -> DataFrame:
+    """Rows dealt by part, and by their hash within it, so that a hot part has several writers."""
+    return source.repartitionByRange(by, F.xxhash64(*[F.col(f"`{c}`") for c in source.columns]))
+
+
+def sync_parts(source: DataFrame, folder: str, by: str) -> DataFrame:
+    """Bring a copy stored in parts up to date by writing only the parts whose contents differ.
+
+    Returns what was found: the part, its rows in the source and in the copy as it was. Contents
+    are compared by digests that combine on the map side. A part that the source no longer has is
+    removed. ``by`` has a value for each folder, few enough for the driver to list; the parts
+    found are written down as literals, so that the source's scan is pruned to them. A reader at
+    work meanwhile may meet parts of both states: publish versions where that matters.
+    """
+    spark = source.sparkSession
+    found = differing_parts(source, read_parts(source, folder), [by]).collect()
+    kind = source.schema[by].dataType
+    values = {r[by]: r["left_rows"] for r in found}
+    part = F.col(f"`{by}`")
+    if any(values.values()):
+        wanted = part.isin([v for v, n in values.items() if n and v is not None])
+        fresh = source.where(wanted | part.isNull() if values.get(None) else wanted)
+        _dealt(fresh, by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(folder)
+    gone = [v for v, n in values.items() if not n]
+    if gone:
+        _drop_parts(spark, folder, by, spark.createDataFrame([(v,) for v in gone], T.StructType([T.StructField(by, kind)])))
+    names = T.StructType([T.StructField(by, kind), T.StructField("source_rows", T.LongType()), T.StructField("copy_rows", T.LongType())])
+    return spark.createDataFrame([(r[by], r["left_rows"], r["right_rows"]) for r in found], names)
+
+
+def _drop_parts(spark: SparkSession, folder: str, by: str, parts: DataFrame) -> None:
+    """Remove the folders of parts; their names are what Spark makes of the values."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for (value,) in parts.select(F.col(f"`{by}`").cast("string")).collect():
+        system.delete(jvm.org.apache.hadoop.fs.Path(root, escape(by, value)), True)
+
+
 def catalog_counts(wh: Mapping[str, DataFrame], names: Sequence[str] | None = None) -> DataFrame:
     """Row count per table and the total."""
     counted = [

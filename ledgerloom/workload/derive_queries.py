@@ -77,6 +77,19 @@ def synced_parity(wh: Any) -> DataFrame:
     return quality.parity(source, copy, {"payment_days": F.col("payment_days")}, "parity:suppliers")
 
 
+def synced_parts(wh: Any) -> DataFrame:
+    """A copy of the sales lines that went stale in two years: only those are written again, then nothing is."""
+    source = wh["o2c_sales_order_line"].withColumn("order_year", F.year("order_date"))
+    day, year = F.col("order_date"), F.col("order_year")
+    stale = source.where(year != 1999).withColumn(
+        "ext_amount", F.when(day == F.lit(date(1997, 3, 3)), F.col("ext_amount") + 1).otherwise(F.col("ext_amount"))
+    )
+    folder = files.shared_folder(wh.spark, "sales-parts")
+    files.write_parts(stale, folder, "order_year")
+    first = files.sync_parts(source, folder, "order_year").withColumn("pass", F.lit(1))
+    return first.unionByName(files.sync_parts(source, folder, "order_year").withColumn("pass", F.lit(2)))
+
+
 def guarded_revenue(wh: Any) -> DataFrame:
     """A SQL question over registered views, held to its tables and columns."""
     files.register_views(wh, ["o2c_sales_order_line", "dim_customer"], prefix="guarded_")
@@ -143,6 +156,7 @@ def queries() -> dict[str, Query]:
             )
         ),
         "load_sync_parity": on_distributor(synced_parity),
+        "load_sync_parts": on_distributor(synced_parts),
         "load_catalog_counts": on_distributor(files.catalog_counts),
         "load_bounded_result": on_distributor(
             lambda wh: files.bounded_result(analyses.item_revenue(wh), 100)[1]

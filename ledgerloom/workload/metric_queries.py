@@ -6,6 +6,7 @@ from datetime import date
 from typing import Any
 
 from ledgerloom.metrics.registry import ALL_METRICS, metric, validate_metrics
+from ledgerloom.metrics.together import together
 from ledgerloom.periods import Period
 from ledgerloom.workload.common import Query, on_distributor, on_furniture
 
@@ -56,6 +57,14 @@ def _compared(name: str, current: Period, prior: Period, tenant: str = "distribu
     return on(lambda wh: metric(name, tenant).compare(wh, current, prior, **arguments))
 
 
+def _board(names: str, by: list[str], tenant: str = "distributor", **arguments: Any) -> Query:
+    """The named metrics side by side."""
+    listed = names.split()
+    shown = [a.split(".")[1] for a in by] + listed
+    on = on_furniture if tenant == "furniture" else on_distributor
+    return on(lambda wh: together(wh, [metric(n, tenant) for n in listed], by, **arguments).select(*shown), 2)
+
+
 def queries() -> dict[str, Query]:
     found = {f"{tenant}_{name}": _plain(tenant, name) for tenant, name in ALL_METRICS}
     found |= {
@@ -133,6 +142,17 @@ def queries() -> dict[str, Query]:
             "cancellation_rate", Period.quarter(2000, 3), Period.quarter(2000, 2), "furniture",
             by=["dim_customer.customer_segment"],
         ),
+        "board_by_segment": _board(
+            "total_revenue gross_margin_pct avg_order_value order_count return_rate_pct dso_days otif_pct", ["dim_customer.segment"]
+        ),
+        "board_by_year": _board(
+            "total_revenue gross_margin_pct order_count dso_days dpo_days dio_days stockout_rate_pct inventory_turns",
+            ["dim_date.year_num"], period=Period.between(date(1996, 7, 1), date(2000, 6, 30)),
+        ),
+        "furniture_board_by_region_and_quarter": _board(
+            "total_revenue order_volume cancellation_rate active_customer_count average_days_to_pay",
+            ["dim_customer.region", "dim_date.quarter"], "furniture",
+        ),
         "validate_distributor_metrics": on_distributor(lambda wh: validate_metrics(wh, DISTRIBUTOR_RANGES), 2),
         "validate_furniture_metrics": on_furniture(
             lambda wh: validate_metrics(

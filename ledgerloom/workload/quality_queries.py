@@ -14,20 +14,35 @@ from ledgerloom.operators import quality as q
 from ledgerloom.periods import Period
 from ledgerloom.plans import analyses as a
 from ledgerloom.retrieval.ranking import retrieve
+from ledgerloom.session import kept
+from ledgerloom.sources.files import SHARED_STEPS
 from ledgerloom.workload.common import Query, on_distributor, on_furniture, on_raw
 from ledgerloom.workload.retrieval_queries import documents, text_queries
 
-# expected sizes at the smallest checked scale
-EXPECTED_ROWS = {
-    "dim_customer": 1500, "dim_supplier": 100, "dim_item": 2000, "o2c_sales_order_line": 15000,
-    "o2c_fulfillment_line": 14743, "p2p_purchase_order_line": 60000, "inv_balance_snapshot": 40000,
-}
 BANDS = {
     "dso_days": (40, 60), "dpo_days": (35, 50), "dio_days": (10, 90), "cash_conversion_cycle_days": (10, 91),
     "gross_margin_pct": (22, 43),
 }
 
 
+def expected_rows(wh: Any) -> dict[str, Any]:
+    """What the raw tables let each table hold, as scalar subqueries: right at every size."""
+    rows = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    day = F.to_date("o_orderdate")
+    months = wh["orders"].agg(F.countDistinct(F.trunc(day, "MM"))).scalar()
+    return {
+        "dim_customer": rows(wh["customer"]), "dim_supplier": rows(wh["supplier"]), "dim_item": rows(wh["part"]),
+        "o2c_sales_order_line": rows(wh["orders"]),
+        "o2c_fulfillment_line": rows(wh["lineitem"].select("l_orderkey").distinct()),
+        "p2p_purchase_order_line": rows(wh["lineitem"]), "inv_balance_snapshot": rows(wh["part"]) * months,
+    }
+
+
+def foreign_keys(wh: Any) -> DataFrame:
+    """All declared keys; the joins that several facts start from are made once."""
+    return q.orphans(wh.replaced(**{step: kept(wh[step]) for step in SHARED_STEPS}))
+
+
 def quarter_cancellations(wh: Any) -> DataFrame:
     cancelled = F.col("order_status") == "Cancelled"
     return (
@@ -125,10 +140,29 @@ def copies(wh: Any) -> DataFrame:
     return q.parity(left, shipped.select(F.col("ext_amount").alias("amount")), {"amount": F.col("amount")}, "parity:invoices")
 
 
+def copied_contents(wh: Any) -> DataFrame:
+    """Every invoice against the shipped line it was made from; and against lines with one customer's amounts changed."""
+    shipped = wh["o2c_sales_order_line"].join(wh["o2c_fulfillment_line"].select("so_line_key", "ship_date"), "so_line_key")
+    lines = shipped.select(
+        F.col("so_line_key").alias("invoice_key"), F.col("ship_date").alias("invoice_date"), "customer_key",
+        F.col("ext_amount").alias("invoice_amount"), F.year("ship_date").alias("year"),
+    )
+    invoices = wh["ar_invoice"].withColumn("year", F.year("invoice_date")).select(*lines.columns)
+    changed = lines.withColumn(
+        "invoice_amount", F.when(F.col("customer_key") == 1, F.col("invoice_amount") + 1).otherwise(F.col("invoice_amount"))
+    )
+    return q.report(
+        [
+            q.content_parity(invoices, lines, ["year"], "contents:invoices"),
+            q.content_parity(invoices, changed, ["year"], "contents:changed"),
+        ]
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
-        "quality_row_counts": on_distributor(lambda wh: q.row_counts(wh, EXPECTED_ROWS)),
-        "quality_foreign_keys_distributor": on_distributor(q.orphans),
+        "quality_row_counts": on_distributor(lambda wh: q.row_counts(wh, expected_rows(wh))),
+        "quality_foreign_keys_distributor": on_distributor(foreign_keys),
         "quality_foreign_keys_furniture": on_furniture(q.orphans),
         "quality_primary_keys_distributor": on_distributor(q.primary_keys),
         "quality_primary_keys_furniture": on_furniture(q.primary_keys),
@@ -141,4 +175,5 @@ def queries() -> dict[str, Query]:
         "quality_tenant_isolation": on_distributor(isolation),
         "quality_tenant_probe": on_raw(planted_twins),
         "quality_copy_parity": on_distributor(copies),
+        "quality_copy_contents": on_distributor(copied_contents),
     }

@@ -74,6 +74,8 @@ def sql() -> dict[str, str]:
         "load_sync_parity": """SELECT 'parity:suppliers:rows' AS check_id, 'difference between the copies' AS label, '0' AS expected, 0E0 AS actual,
             COUNT(*) = COUNT(supplier_key) AS passed FROM dim_supplier
           UNION ALL SELECT 'parity:suppliers:payment_days', 'difference between the copies', '0', SUM(payment_days) * 0E0, TRUE FROM dim_supplier""",
+        "load_sync_parts": """SELECT YEAR(order_date) AS order_year, COUNT(*) AS source_rows, COUNT(CASE WHEN YEAR(order_date) <> 1999 THEN 1 END) AS copy_rows,
+            1 AS pass FROM o2c_sales_order_line GROUP BY 1 HAVING YEAR(order_date) = 1999 OR bool_or(order_date = DATE '1997-03-03')""",
         "load_catalog_counts": f"WITH t AS ({d}) SELECT * FROM t UNION ALL SELECT 'total', SUM(row_count)::BIGINT FROM t",
         "load_bounded_result": """SELECT COUNT(*) AS row_count, COUNT(*) > 100 AS truncated FROM (SELECT DISTINCT item_key FROM o2c_sales_order_line)""",
         "load_normalized_types": """SELECT invoice_id, CAST(CAST(invoice_amount AS DECIMAL(18, 2)) AS DOUBLE) AS invoice_amount,

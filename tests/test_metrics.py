@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.metrics.registry import ALL_METRICS, metric, validate_metrics
+from ledgerloom.metrics.together import merged, together
 from ledgerloom.periods import Period
 from ledgerloom.sources.schemas import CATALOG
 from ledgerloom.sources.warehouse import Warehouse
@@ -114,6 +115,42 @@ def test_overlapping_periods_are_compared_apart(furniture):
     assert (row["current_value"], row["prior_value"], row["sentiment"]) == (550.0, 450.0, "Favorable")
 
 
+def test_metrics_computed_together_are_as_alone(furniture):
+    names = ["total_revenue", "cogs", "cancellation_rate", "order_volume", "active_customer_count", "average_order_value"]
+    for by, period in (((), None), (("dim_customer.region",), Period.year(2024)), (("dim_date.year", "dim_customer.region"), None)):
+        wide = together(furniture, [metric(n, "furniture") for n in names], by, period)
+        keys = [a.split(".")[1] for a in by]
+        for name in names:
+            alone = metric(name, "furniture").compute(furniture, by=by, period=period).select(*keys, F.col(name).cast("double"))
+            shared = wide.where(f"has_{name}").select(*keys, F.col(name).cast("double"))
+            assert sorted(map(tuple, shared.collect())) == sorted(map(tuple, alone.collect())), (name, by)
+    with pytest.raises(ValueError, match="together"):
+        together(furniture, [metric("customer_churn_count", "furniture")])
+
+
+def test_metrics_of_one_fact_share_a_scan(distributor):
+    names = ["total_revenue", "gross_margin_pct", "return_rate_pct", "order_count", "avg_order_value"]
+    legs = [leg for n in names for leg in metric(n).legs if leg.fact == "o2c_sales_order_line"]
+    plain, per_order = [leg for leg in legs if not leg.per], [leg for leg in legs if leg.per]
+    one, places = merged(plain, "x")
+    # revenue, margin, the count of lines and of rows: equal parts are computed once
+    assert len(plain) == 3 and len(one.parts) == 3
+    assert places[0]["revenue"] == places[1]["revenue"]
+    two, _ = merged(per_order, "x")
+    assert len(per_order) == 2 and len(two.outer) == 4
+    text = together(distributor, [metric(n) for n in names])._jdf.queryExecution().optimizedPlan().toString()
+    alone = sum(metric(n).compute(distributor)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") for n in names)
+    assert text.count("LogicalRDD") < alone
+
+
+def test_filters_that_differ_move_into_the_parts():
+    ledger = [metric(n).legs[0] for n in ("gl_revenue_by_period", "gl_cogs_trend")]
+    one, places = merged(ledger, "x")
+    assert one.keep == "(account_name = 'Revenue') or (account_name = 'COGS')"
+    assert places[0]["balance"] != places[1]["balance"]
+    assert "account_name = 'COGS'" in one.parts[places[1]["balance"]].expr
+
+
 def test_validation_flags_a_value_out_of_range(furniture):
     rows = validate_metrics(furniture, {"total_revenue": (0, 500), "order_volume": (1, 10)}).collect()
     assert {r["check_id"]: r["passed"] for r in rows} == {"furniture:total_revenue": False, "furniture:order_volume": True}
