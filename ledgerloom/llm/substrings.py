@@ -57,29 +57,55 @@ def anchored_pieces(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     return [*where, *(h.view(np.int64) for h in hashes), anchor[first] - text_starts[text]]
 
 
+def _shared_with_smaller(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each suffix in order, what it shares with the nearest one before it of a smaller place; else 0.
+
+    Runs of suffixes at greater places are skipped in steps of falling powers of two, whose least
+    place and least shared length are known beforehand.
+    """
+    least, common = [order], [shared]  # of the 2 ** k suffixes that end here
+    reach = 1
+    while 2 * reach <= len(order):
+        ends = slice(reach, None), slice(None, -reach)
+        least.append(np.concatenate([np.full(reach, -1), np.minimum(least[-1][ends[0]], least[-1][ends[1]])]))
+        common.append(np.concatenate([np.zeros(reach, np.int64), np.minimum(common[-1][ends[0]], common[-1][ends[1]])]))
+        reach *= 2
+    at = np.arange(len(order)) - 1
+    found = shared.copy()
+    for k in reversed(range(len(least))):
+        # a run that would begin before the first suffix has the least place -1
+        skipped = np.flatnonzero((at >= 0) & (least[k][at] > order))
+        found[skipped] = np.minimum(found[skipped], common[k][at[skipped]])
+        at[skipped] -= 1 << k
+    return np.where(at >= 0, found, 0)
+
+
 def longest_previous(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """LPF: the longest string at each place that also starts at a smaller place.
 
     ``order`` lists the places 0 to n - 1 in suffix order; ``shared[i]`` is what the suffixes
     ``order[i - 1]`` and ``order[i]`` share. Only the nearest smaller places before and after
-    in suffix order can share most; a stack finds both in one pass.
+    in suffix order can share most.
     """
-    found = np.zeros(len(order), np.int64)
-    stack: list[tuple[int, int]] = []  # place, what it shares with the one below
-    for place, common in zip([*order.tolist(), -1], [*shared.tolist(), 0]):
-        while stack and stack[-1][0] > place:
-            top, below = stack.pop()
-            found[top] = max(below, common)
-            common = min(below, common)
-        stack.append((place, common))
+    order, shared = np.asarray(order, np.int64), np.asarray(shared, np.int64)
+    back = np.concatenate([np.zeros(1, np.int64), shared[1:][::-1]])
+    longest = np.maximum(_shared_with_smaller(order, shared), _shared_with_smaller(order[::-1], back)[::-1])
+    found = np.empty(len(order), np.int64)
+    found[order] = longest
     return found
 
 
+def longest_next(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The mirror: the longest string at each place that also starts at a greater place."""
+    return longest_previous(len(order) - 1 - np.asarray(order, np.int64), shared)[::-1]
+
+
 def repeated_windows(pieces: list[tuple[bytes, bytes, int]], width: int = WIDTH) -> tuple[np.ndarray, ...]:
     """For every window of the pieces: piece, start, found elsewhere, found at a smaller place.
 
     A piece is (anchor, bytes, rank of its first occurrence); only windows with one anchor are
-    compared. Places are ordered by rank, then start.
+    compared. Places are ordered by rank, then start. A window is found at a smaller place where
+    its longest previous factor is whole, and elsewhere where that or its longest next one is.
     """
     rows, piece, start = [], [], []
     for i, (anchor, text, _) in enumerate(pieces):
@@ -98,13 +124,10 @@ def repeated_windows(pieces: list[tuple[bytes, bytes, int]], width: int = WIDTH)
     differs = table[by_bytes[1:]] != table[by_bytes[:-1]]
     common = np.where(differs.any(axis=1), differs.argmax(axis=1), table.shape[1])
     shared = np.concatenate([[0], common])
-    length = longest_previous(place[by_bytes], shared)
     whole = table.shape[1]
-    elsewhere = np.zeros(len(table), bool)
-    equal = shared >= whole
-    elsewhere[by_bytes[equal]] = True
-    elsewhere[by_bytes[:-1][equal[1:]]] = True
-    return piece, start, elsewhere, length[place] >= whole
+    earlier = longest_previous(place[by_bytes], shared)[place] >= whole
+    later = longest_next(place[by_bytes], shared)[place] >= whole
+    return piece, start, earlier | later, earlier
 
 
 def _pieces(docs: DataFrame, width: int) -> DataFrame:
