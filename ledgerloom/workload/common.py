@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.session import tune
+from ledgerloom.session import kept, tune
+from ledgerloom.sources.files import SHARED_STEPS
 from ledgerloom.sources.warehouse import Warehouse, distributor, furniture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,11 @@ def tidy(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(*columns)
 
 
+def with_steps_kept(wh: Warehouse) -> Warehouse:
+    """The warehouse with the joins that several of its facts start from made once."""
+    return wh.replaced(**{step: kept(wh[step]) for step in SHARED_STEPS})
+
+
 def on_distributor(build: Callable[[Warehouse], DataFrame], digits: int = 4) -> Query:
     return lambda spark, folder: tidy(build(distributor(tune(spark), folder)), digits)
 

@@ -14,9 +14,7 @@ from ledgerloom.operators import quality as q
 from ledgerloom.periods import Period
 from ledgerloom.plans import analyses as a
 from ledgerloom.retrieval.ranking import retrieve
-from ledgerloom.session import kept
-from ledgerloom.sources.files import SHARED_STEPS
-from ledgerloom.workload.common import Query, on_distributor, on_furniture, on_raw
+from ledgerloom.workload.common import Query, on_distributor, on_furniture, on_raw, with_steps_kept
 from ledgerloom.workload.retrieval_queries import documents, text_queries
 
 BANDS = {
@@ -38,11 +36,6 @@ def expected_rows(wh: Any) -> dict[str, Any]:
     }
 
 
-def foreign_keys(wh: Any) -> DataFrame:
-    """All declared keys; the joins that several facts start from are made once."""
-    return q.orphans(wh.replaced(**{step: kept(wh[step]) for step in SHARED_STEPS}))
-
-
 def quarter_cancellations(wh: Any) -> DataFrame:
     cancelled = F.col("order_status") == "Cancelled"
     return (
@@ -162,7 +155,7 @@ def copied_contents(wh: Any) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "quality_row_counts": on_distributor(lambda wh: q.row_counts(wh, expected_rows(wh))),
-        "quality_foreign_keys_distributor": on_distributor(foreign_keys),
+        "quality_foreign_keys_distributor": on_distributor(lambda wh: q.orphans(with_steps_kept(wh))),
         "quality_foreign_keys_furniture": on_furniture(q.orphans),
         "quality_primary_keys_distributor": on_distributor(q.primary_keys),
         "quality_primary_keys_furniture": on_furniture(q.primary_keys),
