@@ -252,3 +252,36 @@ def test_a_borrowed_period_reaches_the_scan_of_the_parent(spark, sf_dir):
     text = plan._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in text.splitlines() if "orders.parquet" in line]
     assert len(scans) == 2 and all("1999" in line.split("PushedFilters")[1] for line in scans)
+
+
+def test_stock_levels_joined_with_items_first_keep_every_row(spark):
+    """Repeated and missing item keys count as they do when the finished fact is joined."""
+    from ledgerloom.sources.warehouse import distributor
+
+    part = [
+        (1, "a", "b1", "LARGE", 1, 10.0), (1, "a", "b1", "SMALL", 1, 20.0), (2, "c", "b2", "SMALL", 1, 5.0),
+        (2, "c", "b2", "SMALL", 1, 5.0), (None, "d", "b2", "LARGE", 1, 7.0), (3, "e", "b1", None, 1, 9.0), (29, "f", "b1", "LARGE", 1, None),
+    ]
+    days = ["2000-01-05", "2000-01-31", "2000-02-10", "2001-03-01"]
+    rows = {
+        "part": spark.createDataFrame(part, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+        "orders": spark.createDataFrame(
+            [(i, 1, "F", 100.0, d, "1") for i, d in enumerate(days)],
+            "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string",
+        ).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")),
+        "supplier": spark.createDataFrame([(s, f"s{s}", 0, 1.0) for s in (0, 1, 4)], "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"),
+    }
+    wh = distributor(spark, "/root/testdata/sf0.001").replaced(**rows)
+    whole = wh.replaced(inv_balance_snapshot=wh["inv_balance_snapshot"])
+    assert wh.spreads and not whole.spreads
+    item, tier, site = "dim_item.category", "dim_supplier.reliability_tier", "dim_warehouse.warehouse_name"
+    for by, where, period in [
+        ([item], None, None), ([tier], None, None), ([item, site], None, Period.year(2000)), ([], {item: "SMALL"}, None),
+        ([site], {item: ["SMALL", "LARGE"]}, None), ([item, "dim_date.year_num"], {site: "Warehouse 2"}, None), ([], {tier: "D"}, None),
+    ]:
+        names = ["stockout_rate_pct"] + (["inventory_turns"] if tier not in [*by, *(where or {})] and "dim_date.year_num" not in by else [])
+        for name in names:
+            found, expected = (
+                sorted(map(repr, metric(name).compute(w, by=by, where=where, period=period).collect())) for w in (wh, whole)
+            )
+            assert found == expected and found, (name, by, where)

@@ -152,3 +152,15 @@ def test_fact_and_item_side_are_both_freshly_shuffled(no_broadcast):
         sorts = [i for i in range(top + 1, len(joins)) if depth(joins[i]) == depth(joins[top]) + 3]
         assert len(sorts) == 2
         assert all("Sort" in joins[i] and "Exchange hashpartitioning" in joins[i + 1] for i in sorts), fact
+
+
+def test_stock_levels_take_the_category_before_the_months(no_broadcast):
+    """A group for each item and day would be as large as the fact: no task may hold such groups."""
+    wh = distributor(no_broadcast, SMALL)
+    item, tier, site = "dim_item.category", "dim_supplier.reliability_tier", "dim_warehouse.warehouse_name"
+    for name, by in (("dio_days", [item]), ("inventory_turns", [item]), ("stockout_rate_pct", [tier]), ("stockout_rate_pct", [item, site])):
+        text = plan(metric(name).compute(wh, by=by))
+        months = text.index("Generate")
+        assert "SortMergeJoin" in text[months:], "the items are joined below the months"
+        grouped = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", text[:months])
+        assert grouped and not any("__k_item_key" in keys and "snapshot_date" in keys for keys in grouped)
