@@ -164,3 +164,15 @@ def test_stock_levels_take_the_category_before_the_months(no_broadcast):
         assert "SortMergeJoin" in text[months:], "the items are joined below the months"
         grouped = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", text[:months])
         assert grouped and not any("__k_item_key" in keys and "snapshot_date" in keys for keys in grouped)
+
+
+def test_metric_validation_makes_shared_joins_once(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        text = plan(entry_point.queries()["validate_distributor_metrics"](spark, SMALL))
+        scans = re.findall(r"FileScan parquet.*?/(\w+)\.parquet", text)
+        assert "Scan ExistingRDD" in text
+        assert scans.count("lineitem") < 8, "19 where each metric joins the lines for itself"
+        assert scans.count("part") < 16, "32 where purchases meet their items anew"
+    finally:
+        spark.sparkContext._jsc.sc().setCheckpointDir(None)
