@@ -176,3 +176,9 @@ def test_metric_validation_makes_shared_joins_once(spark, tmp_path):
         assert scans.count("part") < 16, "32 where purchases meet their items anew"
     finally:
         spark.sparkContext._jsc.sc().setCheckpointDir(None)
+
+
+def test_stock_pressure_groups_no_item_by_day(no_broadcast):
+    text = plan(entry_point.queries()["analysis_category_stock_pressure"](no_broadcast, SMALL))
+    grouped = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", text)
+    assert grouped and not any("__k_item_key" in keys and "snapshot_date" in keys for keys in grouped)
