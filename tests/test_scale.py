@@ -182,3 +182,11 @@ def test_stock_pressure_groups_no_item_by_day(no_broadcast):
     text = plan(entry_point.queries()["analysis_category_stock_pressure"](no_broadcast, SMALL))
     grouped = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", text)
     assert grouped and not any("__k_item_key" in keys and "snapshot_date" in keys for keys in grouped)
+
+
+def test_stock_pressure_reads_stock_by_category_and_day(no_broadcast):
+    """Plans name the item's key as the step does: ``__k_item_key`` is never seen in them."""
+    text = plan(entry_point.queries()["analysis_category_stock_pressure"](no_broadcast, SMALL))
+    grouped = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", text)
+    daily = [keys for keys in grouped if "snapshot_date" in keys]
+    assert daily and not any("item_key" in keys for keys in grouped if "order_date" not in keys)
