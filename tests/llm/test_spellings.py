@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from ledgerloom.llm import spellings
+from ledgerloom.llm.common import stored
 
 RUN = re.compile("[A-Za-z\u00c0-\u00ff]+")
 
@@ -88,3 +89,25 @@ def test_chains_ends_and_letters(spark):
 def test_no_words(spark, text):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(text)], "doc_id long, text string, n long")
     assert spellings.spelling_forms(docs).collect() == []
+
+
+def test_no_side_that_grows_with_the_words_passes_the_driver(spark, monkeypatch):
+    ran = []
+
+    def watched(df, name):
+        df.collect()
+        ran.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(spellings, "stored", watched)
+    docs = spark.createDataFrame([(0, "spelling " * 40 + "speling " * 6 + "spelin " * 1)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10g")  # as if Spark took each side for a small one
+    try:
+        found = spellings.spelling_forms(docs, least=1)
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.word, r.root) for r in rows) == [("spelin", "spelling"), ("speling", "spelling"), ("spelling", "spelling")]
+    joins = [p for p in [*ran, found._jdf.queryExecution().executedPlan().toString()] if "Join" in p]
+    assert len(joins) >= 4 and all("SortMergeJoin" in p and "Broadcast" not in p for p in joins)
